@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _words
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SEED = 1500, 3000, 5
-PREFIXES, FEATURES, GRADES, REJECT, MARK = (4, 5, 6, 8), 400, 3, 0.5, 3.0
+PREFIXES, FEATURES, GRADES, REJECT, MARK = (4, 5, 6, 8), 400, 3, 0.2, 3.0
 _PARTS = 1 + len(PREFIXES)
 
 
