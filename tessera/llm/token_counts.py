@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _tokens
 from tessera.llm._tables import stored
 
-BLOCK = 4096
+BLOCK = 256
 
 
 def _lengths(batches, path):
