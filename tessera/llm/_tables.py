@@ -37,6 +37,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows by ``key`` to as many tasks as there are cores, if the table has fewer
+    files than that (one small file is one task); large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def released(rows):
+    """Rows of a worker's generator; at its end, freed memory goes back to the system, for
+    the worker process lives on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back after each task."""
+    return df.mapInArrow(lambda batches: released(function(batches)), schema)
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker process."""
     module = sys.modules.get("_tessera_worker_cache")

@@ -23,14 +23,13 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoders(path: str):
+def _encoder(path: str):
     cache = worker_cache()
     if ("tokens", path) not in cache:
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -41,27 +40,39 @@ def _encoders(path: str):
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in vocabulary.items() if all(c in byte_of for c in w) and not w.startswith("<|")}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        cache["tokens", path] = fast, slow
+        cache["tokens", path] = fast
     return cache["tokens", path]
 
 
+def _reference(path: str):
+    """The tokenizer file itself, read when a text needs it."""
+    cache = worker_cache()
+    if ("file", path) not in cache:
+        from tokenizers import Tokenizer
+
+        cache["file", path] = Tokenizer.from_file(path)
+        cache["file", path].encode_special_tokens = True
+    return cache["file", path]
+
+
 def encoder(path: str):
     """A function from a text to its ids (uint32)."""
-    fast, slow = _encoders(path)
+    fast = _encoder(path)
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(_reference(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def ids(text: str) -> np.ndarray:
         if len(text) > _LONG:
             longest = max(map(len, text.split()), default=0)
             blanks = len(text) - sum(map(len, text.split()))
             if longest > _LONG // 4 or blanks > len(text) // 2:
-                return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                return slow(text)
         try:
             return np.array(fast.encode_ordinary(text), dtype=np.uint32)
         except Exception as error:  # the pattern engine gives up on some long runs
             if "stack" not in str(error).lower() and "backtrack" not in str(error).lower():
                 raise
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return slow(text)
 
     return ids

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _dom
+from tessera.llm._tables import arrow_map
 
 PAGES, THRESHOLD, SEED, STEPS = 260, 0.5, 3, 160
 _TAGS = ["#page", *sorted(_dom.BLOCK)]
@@ -206,7 +207,7 @@ def _extract(batches, model, threshold, group=256):
 def main_text(pages: DataFrame, labelled=None, threshold: float = THRESHOLD) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``."""
     todo = partial(_extract, model=train(labelled), threshold=threshold)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(todo, "page_id long, url string, text string, n_chars long")
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), todo, "page_id long, url string, text string, n_chars long")
 
 
 def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, set[str]]]:

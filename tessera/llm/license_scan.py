@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words
+from tessera.llm._tables import arrow_map
 
 MIN_MATCH, MIN_COVER, MAX_GAP = 3, 0.6, 12
 
@@ -239,4 +240,4 @@ def licences(docs: DataFrame, templates=None, phrases=None, min_match: int = MIN
     base_labels, labels, score, spans``."""
     todo = partial(_scanned, templates=templates or TEMPLATES, phrases=phrases or PHRASES, least=min_match, cover=min_cover, gap=max_gap)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,last_word:long,coverage:double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(todo, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), todo, schema)

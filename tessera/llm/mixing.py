@@ -179,6 +179,6 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CA
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: left out, once, or repeated."""
     names = docs.columns
-    plan = mixture(docs, **options).where("copies > 0").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).alias("__k"), "copies")
-    rows = docs.withColumn("__k", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), word_count(F.col("text")).cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))))
-    return rows.join(plan, "__k").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names)
+    plan = mixture(docs, **options).where("copies > 0").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).alias("__tessera_key"), F.col("copies").alias("__tessera_copies"))
+    rows = docs.withColumn("__tessera_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), word_count(F.col("text")).cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))))
+    return rows.join(plan, "__tessera_key").withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tessera_copies")))).select(*names)

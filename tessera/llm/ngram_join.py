@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _words
 from tessera.llm._components import components
-from tessera.llm._tables import stored
+from tessera.llm._tables import arrow_map, stored
 
 WIDTH, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 20, 8, 0.999
 #: Nodes of a block in candidate search and in verification; pairs below the cut are no candidates.
@@ -270,7 +270,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     cut = sketch_cut(threshold, trees * depth)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     signed = stored(
-        base.mapInArrow(partial(_sign, width=width, trees=trees, depth=depth), "doc_id long, text_key long, node string, n_shingles long, buckets array<long>, sketch binary"),
+        arrow_map(base, partial(_sign, width=width, trees=trees, depth=depth), "doc_id long, text_key long, node string, n_shingles long, buckets array<long>, sketch binary"),
         "signatures",
     )
     nodes = stored(
@@ -280,7 +280,7 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     placed = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     met = placed.join(shared, "bucket").withColumn("nb", F.ceil(F.col("members") / block).cast("int")).withColumn("blk", _dealt("node", F.col("nb"))).drop("members")
-    found = _block_pairs(met.join(nodes.select("node", "sketch"), "node").select("bucket", "nb", "blk", "node", "sketch"), "bucket").mapInArrow(partial(_candidates, cut=cut), "u string, v string")
+    found = arrow_map(_block_pairs(met.join(nodes.select("node", "sketch"), "node").select("bucket", "nb", "blk", "node", "sketch"), "bucket"), partial(_candidates, cut=cut), "u string, v string")
     likely = components(found, "candidates")
     member = likely.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(likely.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
     member = member.join(nodes.select("node", "copies", "n_shingles", "a_text"), "node")
@@ -290,9 +290,9 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     if member.count() <= BROADCAST_KEYS:  # 8 bytes each; beyond that, a shuffled join
         keys = F.broadcast(keys)
     wanted = base.select("text_key", "text").join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = wanted.select("text").mapInArrow(partial(_sets, width=width), "node string, shingles array<long>")
+    sets = arrow_map(wanted.select("text"), partial(_sets, width=width), "node string, shingles array<long>")
     checked = stored(
-        _block_pairs(member.select("comp", "nb", "blk", "node", "copies").join(sets, "node").select("comp", "nb", "blk", "node", "copies", "shingles"), "comp").mapInArrow(partial(_verify, threshold=threshold), "node string, links long, root string"),
+        arrow_map(_block_pairs(member.select("comp", "nb", "blk", "node", "copies").join(sets, "node").select("comp", "nb", "blk", "node", "copies", "shingles"), "comp"), partial(_verify, threshold=threshold), "node string, links long, root string"),
         "links",
     )
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -307,11 +307,11 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs``, one of each near-duplicate class: that with the smallest
     ``doc_id``, then the smallest text hash.  All columns are kept."""
     names = docs.columns
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "__text")
-    best = F.min_by(F.struct("doc_id", F.col("text_key").alias("__text")), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    keep = jaccard_classes(docs, **options).groupBy("class_key").agg(best.alias("k")).select("k.*").select(key.alias("__key"))
-    rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__key", key)
-    kept = rows.join(keep.hint("merge"), "__key", "left_semi")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "__tessera_text")
+    best = F.min_by(F.struct("doc_id", F.col("text_key").alias("__tessera_text")), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    keep = jaccard_classes(docs, **options).groupBy("class_key").agg(best.alias("k")).select("k.*").select(key.alias("__tessera_key"))
+    rows = docs.withColumn("__tessera_text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__tessera_key", key)
+    kept = rows.join(keep.hint("merge"), "__tessera_key", "left_semi")
     # Rows repeated in full pass the join together; one stays.  The join has dealt them by this key.
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return kept.withColumn("__first", first).where("__first = 1").select(*names)
+    first = F.row_number().over(Window.partitionBy("__tessera_key").orderBy("__tessera_key"))
+    return kept.withColumn("__tessera_first", first).where("__tessera_first = 1").select(*names)

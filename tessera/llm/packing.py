@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _tokens
-from tessera.llm._tables import stored
+from tessera.llm._tables import arrow_map, stored
 
 CAPACITY = 2048
 
@@ -155,7 +155,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     spark = docs.sparkSession
     pieces = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_pieces, path=path or _tokens.default_path(), capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"),
+        arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partial(_pieces, path=path or _tokens.default_path(), capacity=capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"),
         "pieces",
     )
     by_task = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece_counts")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._forest import fit_forest, predict_forest
+from tessera.llm._tables import arrow_map
 
 FINDINGS, THRESHOLD, SEED, MASK = 3000, 0.5, 11, "[SECRET]"
 
@@ -253,7 +254,7 @@ def _path_column(docs: DataFrame):
 def secrets(docs: DataFrame, findings=None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_candidates, n_secrets, top_score, spans`` (code-point spans)."""
     todo = partial(_scan, forest=train(findings), threshold=threshold)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _path_column(docs).alias("path")).mapInArrow(todo, "doc_id long, n_candidates long, n_secrets long, top_score double, spans array<struct<start:long,end:long,score:double>>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _path_column(docs).alias("path")), todo, "doc_id long, n_candidates long, n_secrets long, top_score double, spans array<struct<start:long,end:long,score:double>>")
 
 
 def _redact(batches, forest, threshold, text_at, chars_at):
@@ -282,4 +283,4 @@ def redacted(docs: DataFrame, findings=None, threshold: float = THRESHOLD) -> Da
     """``docs`` with every secret replaced by ``[SECRET]`` and ``n_chars``, where there is
     one, recounted in those rows."""
     todo = partial(_redact, forest=train(findings), threshold=threshold, text_at=docs.columns.index("text"), chars_at=docs.columns.index("n_chars") if "n_chars" in docs.columns else None)
-    return docs.withColumn("__path", _path_column(docs)).mapInArrow(todo, docs.schema)
+    return arrow_map(docs.withColumn("__tessera_path", _path_column(docs)), todo, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _tokens
-from tessera.llm._tables import stored
+from tessera.llm._tables import arrow_map, stored
 
 BLOCK = 256
 
@@ -41,7 +41,7 @@ def _lengths(batches, path):
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``n_tokens, documents``: exact histogram of encoded lengths."""
-    found = docs.select("text").mapInArrow(partial(_lengths, path=path or _tokens.default_path()), "n_tokens long, documents long")
+    found = arrow_map(docs.select("text"), partial(_lengths, path=path or _tokens.default_path()), "n_tokens long, documents long")
     return found.groupBy("n_tokens").agg(F.sum("documents").alias("documents"))
 
 

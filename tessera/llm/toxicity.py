@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words
+from tessera.llm._tables import arrow_map
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SEED = 1500, 3000, 5
 PREFIXES, FEATURES, GRADES, REJECT, MARK = (4, 5, 6, 8), 400, 3, 0.2, 3.0
@@ -104,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, toxic_ro
     some = known.where("toxic > 0").orderBy("o", "doc_id").limit(toxic_rows).union(known.where("toxic = 0").orderBy("o", "doc_id").limit(clean_rows))
     chosen = F.broadcast(some.select("doc_id", "toxic"))  # bounded by the sample
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = rows.select("toxic", "text").mapInArrow(_sampled, "toxic int, words long, features binary, counts binary, sketch binary").toArrow()
+    rows = arrow_map(rows.select("toxic", "text"), _sampled, "toxic int, words long, features binary, counts binary, sketch binary").toArrow()
     return _fit(rows, features)
 
 
@@ -193,7 +194,7 @@ def _score(batches, model):
 def severity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, severity`` (expected grade, 0 to 3), ``grade, p_toxic, rejected``."""
     model = train(docs, labels, **options)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_score, model=model), "doc_id long, severity double, grade int, p_toxic double, rejected boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partial(_score, model=model), "doc_id long, severity double, grade int, p_toxic double, rejected boolean")
 
 
 def _keep(batches, model, at):
@@ -208,4 +209,4 @@ def _keep(batches, model, at):
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that are not rejected, with all their columns."""
     model = train(docs, labels, **options)
-    return docs.mapInArrow(partial(_keep, model=model, at=docs.columns.index("text")), docs.schema)
+    return arrow_map(docs, partial(_keep, model=model, at=docs.columns.index("text")), docs.schema)
