@@ -153,9 +153,9 @@ def array_word_statistics(df: DataFrame, key: str, tokens: str, size: int | None
 def pretrained_mean(df: DataFrame, key: str, text: str, vectors: DataFrame, size: int) -> DataFrame:
     """``key, vector``: mean of given word vectors ``(word, vector)``; a word is looked up as
     written, lower-case, upper-case and capitalised, in that order.  No hit: zeros."""
-    words = df.select(key, F.explode_outer(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("w"))
+    words = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("i", "w"))
     tries = [F.col("w"), F.lower("w"), F.upper("w"), F.initcap("w")]
-    long = words.select(key, F.monotonically_increasing_id().alias("i"), F.posexplode(F.array(*tries)).alias("p", "word")).join(vectors, "word")
+    long = words.select(key, "i", F.posexplode(F.array(*tries)).alias("p", "word")).join(vectors, "word")
     best = long.groupBy(key, "i").agg(F.min_by("vector", "p").alias("vector"))
     means = best.select(key, F.posexplode("vector").alias("d", "x")).groupBy(key, "d").agg(F.avg("x").alias("x"))
     rows = means.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("s"))  # `size` structs a key
