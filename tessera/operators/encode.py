@@ -8,15 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import hash_number, missing, normal_quantile, text_or
+from tessera.operators.ranks import running_sums
 
 #: Separator of combined categories; it stands in no ordinary text.
 SEPARATOR = "\u0001"
 
 
 def label_table(df: DataFrame, column: str) -> DataFrame:
-    """``value, code``: codes from 0 in the order of the distinct non-null values."""
+    """``value, code``: codes from 0 in the order of the distinct non-null values.
+
+    Values are numbered inside ranges (numbers) or initial letters (text), and each of
+    those starts where the one before ends, so no task sorts all values."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "float", "double"):  # exact as doubles
+        ranked = running_sums(values.withColumn("one", F.lit(1)), "value", ["one"])
+        return ranked.select("value", (F.col("run_one") - 1).cast("int").alias("code"))
+    part = F.substring(F.col("value").cast("string"), 1, 3) if dict(df.dtypes)[column] == "string" else F.lit("")
+    values = values.withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per initial
+    starts = values.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__low"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("value")) - 1
+    return values.join(starts, "__part").select("value", (place + F.col("__low")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, columns: list[str], fitted: dict[str, DataFrame] | None = None, unknown: int | None = None) -> DataFrame:

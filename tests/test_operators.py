@@ -322,3 +322,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(str, windowed(rows, "ts", ["k"], "v", size="30 minutes").collect()))
     with pytest.raises(ValueError):
         windowed(rows, "ts", ["k"], "v", ("nunique",))
+
+
+def test_label_codes_follow_the_order(spark):
+    text_values = [f"{a}{b}{c}{d}" for a in "abz" for b in "qx" for c in "éa" for d in range(9)] + ["", "a", "zz"]
+    for values, kind in ((text_values, "string"), ([3, -1, 7, 1 << 30], "int"), ([0.5, -2.0, 1e9], "double"), ([(1 << 60) + k for k in range(5)], "bigint")):
+        df = spark.createDataFrame([(v,) for v in [*values, values[0], None]], f"v {kind}")
+        got = {r["value"]: r["code"] for r in encode.label_table(df, "v").collect()}
+        want = sorted(set(values), key=lambda v: v.encode() if isinstance(v, str) else v)
+        assert got == {v: k for k, v in enumerate(want)}
