@@ -336,3 +336,18 @@ def test_pipeline(spark, sf):
         check[r["sequence_id"]] += r["length"]
     assert max(check.values()) <= 2048
     assert corpus_pipeline.run(spark, sf).count() == len(rows)
+
+
+def test_pipeline_edges(spark, frame, corpus, cluttered, tmp_path):
+    """Nulls in any column, empty tables, repeated rows and clashing names pass all stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(0, 0, 1), (1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd = frame([*corpus, None, corpus[0], corpus[0]], ids=[*range(len(corpus)), None, 0, 0], sources=[*["s1", None, ""] * 40][: len(corpus) + 3])
+    for docs in (frame([]), cluttered(odd)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            if name != "best_fit_packing":
+                assert docs.columns == names
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert docs.count() > 0
