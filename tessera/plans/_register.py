@@ -35,3 +35,9 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 def whole(*names: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """For heavy work per row: deal a table of fewer files than cores to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar, text, vectors
 from tessera.operators import encode, groupby, vectorize
 from tessera.operators.groupby import GroupSpec
-from tessera.plans._register import registry, rounded, table, whole
+from tessera.plans._register import registry, rounded, spread, table, whole
 
 QUERIES, ORACLES, query = registry()
 _MD5 = lambda e: f"('0x' || substr(md5('0:' || ({e})::VARCHAR), 1, 8))::BIGINT"
@@ -131,10 +131,11 @@ def _combi(size: int):
 
     def f(spark, d):
         rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        made = encode.combine(rows.select(*_CATS), _CATS, (size,))
+        rows = rows.groupBy(*_CATS).agg(F.count(F.lit(1)).alias("n"))  # few distinct rows
+        made = encode.combine(rows, _CATS, (size,))
         # A table of (combination, value, count) shows all of them at once.
         pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("combi"), F.replace(F.col(n), F.lit(encode.SEPARATOR), F.lit("|")).alias("value")) for n in names])).alias("x")
-        return made.select(pairs).select("x.*").groupBy("combi", "value").agg(F.count(F.lit(1)).alias("n"))
+        return made.select("n", pairs).select("n", "x.*").groupBy("combi", "value").agg(F.sum("n").alias("n"))
 
     f.__name__ = f"enc_combine_r{size}"
     parts = [f"SELECT '{n}' AS combi, concat_ws('|', {', '.join(cs)}) AS value, count(*)::BIGINT AS n FROM {_FROM} GROUP BY 1, 2" for n, cs in zip(names, combinations(_CATS, size), strict=True)]
@@ -211,7 +212,7 @@ _W = "list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')"
     round(len(list_distinct({_W}))::DOUBLE / nullif(len({_W}), 0), 6) AS text_words_vs_unique FROM documents"""
 )
 def text_basic_features(spark, d):
-    out = text.with_basic_features(table(spark, d, "documents").select("doc_id", "text"), ["text"]).drop("text")
+    out = text.with_basic_features(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), ["text"]).drop("text")
     return rounded(out, {"text_caps_vs_length": 6, "text_words_vs_unique": 6})
 
 
