@@ -305,3 +305,43 @@ def recipe_combined_groupby(spark, d):
 
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "o_orderpriority", "c_mktsegment", "o_totalprice", "c_acctbal")
     return combined_groupby(o, ["o_orderstatus", "o_orderpriority", "c_mktsegment"], ["o_totalprice", "c_acctbal"], ["c_mktsegment"], (2, 3))
+
+
+@query("SELECT d.doc_id, l.toxic::BIGINT AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def recipe_target(spark, d):
+    from tessera.plans.recipes import entity_target
+
+    labels = table(spark, d, "labels").select(F.concat(F.lit("9f3c"), F.lpad(F.hex("doc_id"), 16, "0")).alias("key"), "toxic")
+    return entity_target(table(spark, d, "documents"), labels, "doc_id", "key", "toxic").select("doc_id", *whole("toxic"))
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT p_brand FROM part WHERE p_brand <> 'Brand#11'), c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM v)
+    SELECT p_partkey, coalesce(code, -1)::BIGINT AS p_brand_code FROM part LEFT JOIN c USING (p_brand)"""
+)
+def enc_category_unknown(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_brand")
+    return encode.label_encode(p, ["p_brand"], {"p_brand": encode.label_table(p.where("p_brand <> 'Brand#11'"), "p_brand")}, unknown=-1).select("p_partkey", *whole("p_brand_code"))
+
+
+@query("SELECT event_id, round((exp(value / 100) + 2 * exp(value / 50) + 3 * exp(0.5)) / (1 + exp(value / 100) + exp(value / 50) + exp(0.5)) / 3, 6) AS p FROM events")
+def enc_softmax_expectation(spark, d):
+    scores = F.array(F.lit(0.0), F.col("value") / 100, F.col("value") / 50, F.lit(0.5))
+    return rounded(table(spark, d, "events").select("event_id", scalar.softmax_expectation(scores, 3.0).alias("p")), {"p": 6})
+
+
+@query()
+def recipe_linear_features(spark, d):
+    from tessera.plans.recipes import linear_features
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return linear_features(o.where("o_orderkey % 5 > 0"), o, ["o_totalprice"], ["o_orderstatus"])
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS rating, ln(1 + p_retailprice) > 0 AS positive, split FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM part)")
+def recipe_basic(spark, d):
+    from tessera.plans.recipes import basic_features
+
+    p = table(spark, d, "part").withColumn("rating", F.col("p_size").cast("string"))
+    out = basic_features(p.where("p_partkey % 3 > 0"), p.where("p_partkey % 3 = 0"), ["p_type"], score="rating", log={"log_price": "p_retailprice"})
+    return out.select("p_partkey", F.col("rating").cast("long").alias("rating"), (F.col("log_price") > 0).alias("positive"), "split")

@@ -292,3 +292,47 @@ def cv_pseudo_label(spark, d):
     rows = _training(spark, d)
     pseudo = rows.where("row_id % 10 = 0").withColumn("y", F.col("l_quantity") * 1500)
     return models.cross_validate(rows.where("row_id % 10 <> 0"), ["l_quantity", "l_discount", "l_tax"], "y", metrics.rmse, row_id="row_id", name="ridge", pseudo=pseudo).oof
+
+
+@query(
+    """WITH a AS (SELECT l_quantity AS q, l_extendedprice AS e, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS rq, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS re FROM lineitem)
+    SELECT 'a' AS a, 'b' AS b, round(corr(rq, re), 6) AS r FROM a"""
+)
+def sel_corr_spearman(spark, d):
+    r = select.correlation_table(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], "spearman")["l_quantity", "l_extendedprice"]
+    return spark.createDataFrame([("a", "b", round(r, 6))], "a string, b string, r double")
+
+
+@query("SELECT unnest(['price_again', 'key_again']) AS dropped")
+def sel_duplicate_columns(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.col("o_totalprice").alias("price_again"), F.col("o_orderkey").alias("key_again"), (F.col("o_totalprice") + 1).alias("other"))
+    return _pairs(spark, d, select.duplicate_columns(o))
+
+
+@query()
+def sample_under_smote(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("a"), F.length("source").cast("double").alias("b")), "doc_id").select("doc_id", "toxic", "a", "b")
+    return folds.sampling("random_under_sampling_and_smote", rows, ["doc_id"], "toxic", ["a", "b"])
+
+
+@query(f"SELECT feature, importance FROM {_IMPORTANCE} ORDER BY importance DESC, feature LIMIT 50")
+def importance_report(spark, d):
+    return select.top_features(_importance(spark, d), 50)
+
+
+@query()
+def blend_by_metric(spark, d):
+    rows = _predicted(spark, d).withColumns({"p2": F.col("y") * 0.9 + 1000, "p3": F.lit(100000.0)})
+    w, score = ensemble.blend_by_metric(rows, ["p", "p2", "p3"], lambda p: metrics.rmsle(F.col("y"), p), 24)
+    return spark.createDataFrame([(*w, score)], "w0 double, w1 double, w2 double, rmsle double")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ('0x' || substr(md5('0:' || event_id::VARCHAR), 1, 8))::BIGINT, event_id) - 1) % 4 AS bin FROM events")
+def split_equal_bins(spark, d):
+    return metrics.equal_bins(table(spark, d, "events").select("event_id"), ["event_id"], 4).select("event_id", *whole("bin"))
+
+
+@query()
+def cv_forest_binary(spark, d):
+    rows = folds.stratified_kfold(table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), F.length("lang").cast("double").alias("l")), "doc_id"), ["doc_id"], "toxic", 3)
+    return models.cross_validate(rows.select("doc_id", "toxic", "n", "l", "fold"), ["n", "l"], "toxic", lambda y, p: metrics.rmse(y, p), row_id="doc_id", name="ert", binary=True, numTrees=5, maxDepth=4, clip_to=(0.0, 1.0)).oof

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import map_values, strict_number
-from tessera.operators.encode import combine, label_encode
+from tessera.functions.scalar import hex_to_long, map_values, strict_number
+from tessera.operators.encode import combine, label_encode, mean_impute, one_hot, rank_gauss
 from tessera.operators.groupby import GroupSpec, differences, join_back, ratios
-from tessera.operators.tables import left_join, stack
+from tessera.operators.tables import keep_first, left_join, stack
 
 #: Age ratings in order.
 RATINGS = {"RP": 0, "EC": 0, "K-A": 1, "E": 1, "E10+": 2, "T": 3, "M": 4, "AO": 5}
@@ -52,3 +52,22 @@ def denormalise(fact: DataFrame, steps: list[tuple[DataFrame, list[str], list[st
     for table, left, right, prefix in steps:
         fact = left_join(fact, table, left, right, prefix)
     return fact
+
+
+def entity_target(rows: DataFrame, labels: DataFrame, entity: str, hex_id: str, target: str) -> DataFrame:
+    """``entity, target``: labels keyed by a hex id joined to the distinct entities."""
+    known = labels.select(hex_to_long(F.col(hex_id)).alias("__e"), F.col(target))
+    known = keep_first(known, ["__e"], [target], last=True)
+    return left_join(rows.select(entity).distinct(), known, [entity], ["__e"])
+
+
+def linear_features(train: DataFrame, df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """Inputs of linear models, fitted on the training rows only: numbers imputed and
+    mapped to a normal distribution, categories one-hot with an indicator for missing."""
+    out, base = mean_impute(train, df, numbers), mean_impute(train, train, numbers)
+    for c in numbers:
+        out = rank_gauss(base, out, c)
+    for c in categories:
+        values = sorted(r[0] for r in train.select(c).where(F.col(c).isNotNull()).distinct().collect())  # the columns to make
+        out = one_hot(out, c, values)
+    return out
