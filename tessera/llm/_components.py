@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating star contraction.
 
 Each round is two aggregations and joins over the edges; no group is collected.
-Rounds are cut by tables in shared storage; their number grows with the logarithm
-of the longest path.
+Rounds are cut by tables in shared storage, of which only the newest stays; their
+number grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import stored
+from tessera.llm._tables import dropped, stored
 
 
 def _print(df: DataFrame):
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), name)
+        last, e = e, stored(small.where("u <> v").distinct(), name)
+        dropped(last)
         after = _print(e)
         if after == before:
             break
