@@ -56,3 +56,15 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_specs_of_one_key_share_an_aggregate(spark, sf):
     plan = catalogue.QUERIES["groupby_mean_std_min_max_sum"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path, sf):
+    """Queries with Python workers run from a folder where the package cannot be found."""
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {here!r})\nfrom tessera.session import session\nfrom tessera.plans import catalogue\ns = session('away', 2, 2)\nprint('ROWS', *[catalogue.QUERIES[n](s, {sf!r}).count() for n in ('rounder_groupwise', 'stat_shapiro')])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 4" in out.stdout, out.stderr[-2000:]
