@@ -44,7 +44,6 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
     def places(pairs: Column) -> Column:
-        twice = F.filter(pairs, lambda x, k: (F.get(pairs, k - 1)["h"] == x["h"]) | (F.get(pairs, k + 1)["h"] == x["h"]))
         twice = F.filter(F.transform(pairs, lambda x, k: F.when(F.coalesce(F.get(pairs, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(pairs, k + 1)["h"] == x["h"], F.lit(False)), x["i"])), lambda i: i.isNotNull())
         return let(F.sort_array(twice), covered)
 

@@ -83,8 +83,7 @@ def candidates(text: str):
 
 def features(text: str, span: tuple[int, int], path: str, table: np.ndarray) -> list[float]:
     a, b = span
-    full = text[a:b]
-    w = full[:4096]
+    w = text[a:b]
     n = len(w)
     low = w.lower()
     count: dict[str, int] = {}
@@ -108,7 +107,7 @@ def features(text: str, span: tuple[int, int], path: str, table: np.ndarray) ->
     harmless = max((1.0 / (len(near) - k) for k, x in enumerate(near) if x in HARMLESS_NAMES), default=0.0)
     parts = re.split(r"[^a-z]+", (path or "").lower())
     return [
-        math.log(len(full)),
+        math.log(n),
         digits / n,
         upper / n,
         lower / n,
