@@ -158,6 +158,28 @@ def test_secrets_held_out(forest):
     assert right[0, False] / (right[0, True] + right[0, False]) > 0.95
 
 
+def test_named_bearer_and_login_values_are_candidates(forest):
+    table = secret_scan._transitions()
+    values = {
+        'SECRET_KEY = "{}"': "aB!3x#9&kL%2mn47",
+        "Bearer {}": "k9!dW#2fLq&7x*Zp41",
+        "private_key: {}": "x9!aa#bb%cc",
+        'auth = "{}"': "q1w2!e3r4#t5",
+        "DB_PASSWORD_PROD = {}": "hunter#2!xYz",
+        "postgres://admin:{}@db.host/x": "S3cr3t!Pass",
+        'password = "{}"': "kjh4!#",
+        'config["pwd"]={}': "kjh4!#",
+        "Authorization: Bearer {}": "k9!dW#2fLq&7x*Zp41",
+    }
+    for form, value in values.items():
+        text = f"we write {form.replace('{}', value)} here and more"
+        assert [text[a:b] for a, b, p in secret_scan.rated(text, "src", forest, table) if p >= secret_scan.THRESHOLD] == [value], text
+    for text in ("password: None in code", "the key: something", "api_key = os.environ and on", "the author: Johnson wrote", "bearer people came"):
+        assert not [f for f in secret_scan.rated(text, "src", forest, table) if f[2] >= secret_scan.THRESHOLD], text
+    for name in secret_scan.SECRET_NAMES:
+        assert secret_scan.candidates(f'{name} = "x9!a"') and secret_scan.candidates(f"my_{name}-2: x9!a")
+
+
 def test_long_candidates_are_read_whole():
     table, head = secret_scan._transitions(), "a1" * 2500
     one, two = (secret_scan.features(t, (0, len(t)), "", table) for t in (head + "b" * 2000, head + "Z9" * 1000))
