@@ -2,12 +2,15 @@
 
 The vocabulary file is a parameter; it is read where it lies and never copied.  Ids
 come from the rank table of the same vocabulary, which is several times faster; a text
-that its pattern engine cannot take goes to the tokenizer file itself.  Strings of
-special tokens inside a text are ordinary text.
+that its pattern engine cannot take goes to the tokenizer file itself.  With ``added``
+(the operators' way) a text is cut at the file's added tokens, such as ``<|endoftext|>``,
+which get their own id, as the file does; without it their strings are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from tessera.llm._tables import worker_cache
@@ -55,7 +58,21 @@ def _reference(path: str):
     return cache["file", path]
 
 
-def encoder(path: str):
+def _added(path: str):
+    """``(pattern, ids by string, whole)`` of the file's added tokens; ``whole`` if one takes
+    blanks beside it, single words or normalized text only, which cutting does not cover."""
+    cache = worker_cache()
+    if ("added", path) not in cache:
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            tokens = json.load(f).get("added_tokens") or []
+        pattern = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(tokens, key=lambda t: -len(t["content"]))) + ")") if tokens else None
+        cache["added", path] = pattern, {t["content"]: t["id"] for t in tokens}, any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return cache["added", path]
+
+
+def encoder(path: str, added: bool = False):
     """A function from a text to its ids (uint32)."""
     fast = _encoder(path)
 
@@ -75,4 +92,21 @@ def encoder(path: str):
                 raise
             return slow(text)
 
-    return ids
+    pattern, id_of, whole = _added(path) if added else (None, {}, False)
+    if pattern is None:
+        return ids
+    cache = worker_cache()
+
+    def with_added(text: str) -> np.ndarray:
+        if pattern.search(text) is None:
+            return ids(text)
+        if whole:
+            if ("whole", path) not in cache:
+                from tokenizers import Tokenizer
+
+                cache["whole", path] = Tokenizer.from_file(path)
+            return np.array(cache["whole", path].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        # Odd pieces are the added tokens.
+        return np.concatenate([np.array([id_of[s]], dtype=np.uint32) if k % 2 else ids(s) for k, s in enumerate(pattern.split(text))])
+
+    return with_added

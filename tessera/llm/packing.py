@@ -41,7 +41,7 @@ def _pieces(batches, path, capacity):
     import pyarrow as pa
     from pyspark import TaskContext
 
-    ids = _tokens.encoder(path)
+    ids = _tokens.encoder(path, added=True)
     part = TaskContext.get().partitionId()
     rank = np.zeros(capacity + 1, dtype=np.int64)
     for batch in batches:

@@ -29,7 +29,7 @@ BLOCK = 256
 def _lengths(batches, path):
     import pyarrow as pa
 
-    ids = _tokens.encoder(path)
+    ids = _tokens.encoder(path, added=True)
     counts: dict[int, int] = {}
     for batch in batches:
         for text in batch.column(0):

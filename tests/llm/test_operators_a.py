@@ -232,6 +232,23 @@ def test_ids_of_hard_texts():
         assert ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_added_tokens(frame):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import _tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)  # unaltered
+    e = "<|endoftext|>"
+    texts = [f"a{e}b", e, e + e, f"a {e}  b\n", f"\n\n {e} \n", f"x{e[:-1]} {e[1:]}", f"<|{e}|>", e.upper(), f"{e}{'a' * 30000}{e}", f"x{' ' * 300000}{e}{'q' * 250000}", "no such token", "", f"é{e}日本語"]
+    ids = _tokens.encoder(path, added=True)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [ids(x).tolist() for x in texts] == want and want[0] == [64, 50256, 65]
+    got = {r["n_tokens"]: r["documents"] for r in token_counts.length_histogram(frame(texts)).collect()}
+    assert got == Counter(map(len, want))
+
+
 # -- 4: toxicity ----------------------------------------------------------------------
 
 

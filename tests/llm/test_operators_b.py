@@ -241,6 +241,11 @@ def test_packing_round_trip(frame, corpus, cluttered, capacity):
     assert packing.packed(frame([])).count() == 0
 
 
+def test_packing_of_added_tokens(frame):
+    texts = ["a<|endoftext|>b", "<|endoftext|>" * 200, "word <|endoftext|>  word " * 90, "plain"]
+    check_packing(packing.packed(frame(texts), capacity=64).collect(), dict(enumerate(texts)), 64)
+
+
 def test_plan_holds_all_pieces_and_packs_well():
     rng = random.Random(3)
     for kind in range(4):
