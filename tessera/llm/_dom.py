@@ -1,4 +1,9 @@
-"""A forgiving HTML reader: block elements as a tree, text as blocks in page order."""
+"""A forgiving HTML reader: block elements as a tree, text as blocks in page order.
+
+Only what the HTML standard reads raw (``RAW``) is no text, and without a closing tag to the
+end of the page.  ``EMBEDDED`` elements are nodes whose text forms blocks of its own; one
+without a closing tag is ignored and its text is its parent's.  Formulas are inline text.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +19,12 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object canvas audio video map datalist".split())
-TEXT_ONLY = frozenset("script style textarea title".split())
+RAW = frozenset("script style textarea title iframe".split())
+EMBEDDED = frozenset("template noscript svg object canvas audio video map datalist".split())
+#: Of these, what is never shown.
+_UNSEEN = frozenset("template datalist".split())
+_FOREIGN = frozenset("svg math".split())
+_EMBEDDED_TAG = re.compile(rf"<(/?)({'|'.join(sorted(EMBEDDED))})(?=[\s/>])", re.I)
 BLOCK = frozenset(
     "html head body title nav header footer main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog menu hr center option select textarea button label hgroup search".split()
 )
@@ -45,17 +54,35 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
 
 
+def _closed(html: str) -> set[int]:
+    """Places of the opening tags of embedded elements that have a closing tag."""
+    opened: dict[str, list[int]] = {}
+    found = set()
+    for m in _EMBEDDED_TAG.finditer(html):
+        mine = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            mine.append(m.start())
+        elif mine:
+            found.add(mine.pop())
+    return found
+
+
 def read(html: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block node
     parts: list[str] = []
-    linked = links = 0
+    linked = links = foreign = owner = 0  # owner: the node of the parts
     at, size = 0, len(html)
+    closed: set[int] | None = None
 
-    def text(s: str) -> None:
-        nonlocal linked
+    def text(s: str, plain: bool = False) -> None:
+        nonlocal linked, owner
         if s:
-            s = unescape(s) if "&" in s else s
+            s = unescape(s) if "&" in s and not plain else s
+            if not s.isspace():
+                if owner != stack[-1][1]:
+                    flush()
+                owner = stack[-1][1]
             parts.append(s)
             if links:
                 linked += len(s)
@@ -65,16 +92,17 @@ def read(html: str) -> Page:
         if parts:
             whole = " ".join("".join(parts).split())
             if whole:
-                page.blocks.append((stack[-1][1], whole, min(linked, len(whole))))
+                page.blocks.append((owner, whole, min(linked, len(whole))))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
         """Close open elements down to index k (that one too)."""
-        nonlocal links
+        nonlocal links, foreign
         if any(t in BLOCK for t, _ in stack[k:]):
             flush()
         links -= sum(t == "a" for t, _ in stack[k:])
+        foreign -= sum(t in _FOREIGN for t, _ in stack[k:])
         del stack[k:]
 
     while at < size:
@@ -87,7 +115,7 @@ def read(html: str) -> Page:
         name = m["name"] or m["name2"]
         if name is None:
             if m["cdata"]:
-                parts.append(m["cdata"])
+                text(m["cdata"], plain=True)
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
@@ -104,9 +132,13 @@ def read(html: str) -> Page:
         if name in VOID:
             continue
         attrs = m["attrs"] if m["name"] else m["attrs2"]
-        if attrs and attrs.endswith("/") and name in RAW:
+        if attrs and attrs.endswith("/") and (name in ("script", "style", "iframe") or name in EMBEDDED or name in _FOREIGN or foreign):
             continue
-        if name in TEXT_ONLY or name in RAW:
+        if name in EMBEDDED:
+            closed = _closed(html) if closed is None else closed
+            if m.start() not in closed:
+                continue
+        if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close.end() if close else size
             continue
@@ -119,8 +151,10 @@ def read(html: str) -> Page:
                     pop_to(k)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
-        if name in BLOCK:
-            flush()
+        foreign += name in _FOREIGN
+        if name in BLOCK or name in EMBEDDED:
+            if name in BLOCK:
+                flush()
             if name in _ENDS_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
@@ -128,7 +162,7 @@ def read(html: str) -> Page:
                         break
                     if stack[k][0] in _FENCE:
                         break
-            words, hidden = [], False
+            words, hidden = [], name in _UNSEEN
             if attrs and len(attrs) > 1:
                 for a in _ATTR.finditer(attrs):
                     key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()

@@ -28,7 +28,7 @@ from tessera.llm import _dom
 from tessera.llm._tables import arrow_map
 
 PAGES, THRESHOLD, SEED, STEPS = 260, 0.5, 3, 160
-_TAGS = ["#page", *sorted(_dom.BLOCK)]
+_TAGS = ["#page", *sorted(_dom.BLOCK | _dom.EMBEDDED)]
 _TAG_AT = {t: k for k, t in enumerate(_TAGS)}
 _NUMERIC = 14
 
@@ -313,4 +313,22 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, set[
         if chance(0.3):
             inner = tag("div", inner, pick(["container", "wrapper", "page", "site", None]))
         rows.append((f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var t = 1;</script></head><body>{inner}</body></html>", content))
+    # Embedded elements go in last, so that the layouts stay as drawn.
+    for k, (html, content) in enumerate(rows):
+        for place in sorted(f"<p>{c}</p>" for c in content if f"<p>{c}</p>" in html):
+            if chance(0.12):
+                s = words(2, 12)
+                kind = int(rng.integers(4))
+                if kind == 0:
+                    name = pick(["object", "map"])
+                    extra = tag(name, tag("p", s) if chance(0.5) else s)
+                    content.add(s)
+                elif kind == 1:
+                    extra = tag("noscript", tag("p", s) if chance(0.5) else s)
+                elif kind == 2:
+                    extra = tag("svg", tag("text", s))
+                else:
+                    extra = tag(pick(["video", "audio", "canvas", "template", "datalist"]), s)
+                html = html.replace(place, place + extra, 1) if chance(0.6) else html.replace(place, place[:-4] + " " + extra + "</p>", 1)
+        rows[k] = html, content
     return rows

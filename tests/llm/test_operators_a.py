@@ -88,6 +88,26 @@ def test_page_parts(model):
     assert text == "A title & more First words, of text. More Second <one> here, with words enough to read."
 
 
+EMBED = "<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>About</a></li></ul></nav><article><h1>A title here</h1>{}<p>Second words of the text, long enough to be read.</p><p>Third words of the text, and more of them.</p></article><footer>&copy; me</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", ["svg", "video", "audio", "object", "canvas", "math", "map", "template", "noscript", "datalist"])
+def test_unclosed_embedded_elements_lose_no_text(model, name):
+    start, end = "First words, with some more of them.", "Second words of the text, long enough to be read. Third words of the text, and more of them."
+    later = f"<p>Between these words stands a closed one.</p><{name}></{name}>"
+    for inner, more in ((f"<p>{start}</p><{name} width=3>", ""), (f"<p>{start}<{name}></p>", ""), (f"<p>{start}</p><{name} x='/'>{later}", " Between these words stands a closed one.")):
+        assert html_extract.texts([EMBED.replace("{}", inner)], model) == [f"A title here {start}{more} {end}"]
+
+
+def test_formula_and_fallback_text_is_rated(model):
+    inner = "<p>Let <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> be, <svg><path d='M0'/></svg>as we said.</p><object data='a'><p>This is told in the object, with words to read.</p></object><map name='m'><area href='a'><p>The map has some words, as they are.</p></map>"
+    (text,) = html_extract.texts([EMBED.replace("{}", inner)], model)
+    assert text.startswith("A title here Let x=2 be, as we said. This is told in the object, with words to read. The map has some words, as they are. Second")
+    page = _dom.read("<p>One <video>no video</video> two</p><iframe>raw <p>three")
+    assert [(page.tags[n], t) for n, t, _ in page.blocks] == [("p", "One"), ("video", "no video"), ("p", "two")]
+    assert _dom.read("<svg/>" * 3 + "<svg>" + "<path/>" * 3 + "a</svg>b").tags == ["#page", "svg"]
+
+
 def test_pages_of_the_tables(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.main_text(pages).collect()}
