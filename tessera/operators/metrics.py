@@ -189,28 +189,79 @@ def truncated_evaluation(draws: DataFrame, metric: Column) -> DataFrame:
     return r.select("mean", "std", (F.col("mean") - 2 * F.col("std")).alias("low"), (F.col("mean") + 2 * F.col("std")).alias("high"))
 
 
-def adjusted_draws(df: DataFrame, group: str, order: list[str], shares: list[float], trials: int, seed: int = 0) -> DataFrame:
-    """One row a group and trial, its stratum (position in the group: 1st, 2nd, ..., last and
-    later) drawn to given shares; a group serves one stratum a trial.
+def _stratum_counts(groups: list[int], shares: list[float]) -> list[int]:
+    """Rows to draw of each stratum: the most that keep the shares (largest remainders), for
+    numbers of groups by their deepest stratum."""
+    whole = sum(shares)
+    tails = [sum(groups[s:]) for s in range(len(shares))]
+    total = min(int(t * whole / sum(shares[s:]) + 1e-9) for s, t in enumerate(tails) if sum(shares[s:]) > 0)
+    while True:
+        exact = [total * x / whole for x in shares]
+        counts = [int(x + 1e-9) for x in exact]
+        for s in sorted(range(len(shares)), key=lambda s: (counts[s] - exact[s], s))[: total - sum(counts)]:
+            counts[s] += 1
+        if total <= 0 or all(sum(counts[s:]) <= t for s, t in enumerate(tails)):
+            return counts
+        total -= 1
+
+
+def _stratum_deal(groups: list[int], counts: list[int], rng):
+    """``[stratum, depth]``: how many groups of each depth serve a stratum in one trial.  From
+    the first stratum on, drawn evenly from the unused groups that are deep enough, as far
+    as later strata keep theirs."""
+    import numpy as np
+
+    free, counts = np.array(groups, dtype=np.int64), np.array(counts, dtype=np.int64)
+    out = np.zeros((len(groups), len(groups)), dtype=np.int64)
+    for s in range(len(groups)):
+        able = free.copy()
+        able[:s] = 0
+        x = rng.multivariate_hypergeometric(able, counts[s])
+        for j in range(len(groups) - 1, s, -1):
+            over = x[j:].sum() - (free[j:].sum() - counts[j:].sum())
+            if over > 0:
+                x[j:] -= rng.multivariate_hypergeometric(x[j:], over)
+                room = able - x
+                room[j:] = 0
+                x += rng.multivariate_hypergeometric(room, over)
+        out[s] = x
+        free -= x
+    return out
+
+
+def adjusted_draws(df: DataFrame, group: str, order: list[str], shares: list[float], trials: int, seed: int = 0, later_rows: bool = False) -> DataFrame:
+    """Rows of each stratum (position in the group: 1st, 2nd, ..., last and later) in given
+    shares; a group serves one stratum a trial.
+
+    Each trial has the same exact counts, the most that keep the shares; strata are dealt in
+    turn to unused groups that are deep enough, in hash order.  The last stratum gives one of
+    its rows a group, or with ``later_rows`` its count of rows out of all later rows of the
+    groups left."""
+    import numpy as np
 
-    Each trial deals groups by hash order: the largest strata positions take theirs from
-    the groups that have them, so every stratum gets its share while groups last."""
     last = len(shares) - 1
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    rows = df.withColumn("stratum", F.least(nth, F.lit(last)).cast("int"))
+    rows = df.where(F.col(group).isNotNull()).withColumn("stratum", F.least(nth, F.lit(last)).cast("int"))
     depth = rows.groupBy(group).agg(F.max("stratum").alias("__deep"))
+    sizes = {r[0]: r[1] for r in depth.groupBy("__deep").agg(F.count(F.lit(1))).collect()}  # strata
+    groups = [sizes.get(d, 0) for d in range(last + 1)]
+    counts = _stratum_counts(groups, shares)
+    plan = []
+    for t in range(trials):
+        ends = _stratum_deal(groups, counts, np.random.default_rng([seed, t])).cumsum(axis=0)
+        for d in range(last + 1):
+            for s in range(d + 1):
+                high = groups[d] if later_rows and s == last else int(ends[s, d])
+                plan.append((t, d, s, int(ends[s - 1, d]) if s else 0, high))
+    plan = df.sparkSession.createDataFrame(plan, "trial int, __deep int, __pick int, __low long, __high long")  # trials times strata squared
     trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    dealt = depth.select("*", trial).withColumn("__h", hash_number(F.lit(seed), F.col("trial"), F.col(group)) / F.lit(float(1 << 32)))
-    total = sum(shares)
-    # A group takes the stratum its hash falls in, or its deepest one.
-    edges, acc = [], 0.0
-    for s in shares[:-1]:
-        acc += s / total
-        edges.append(acc)
-    pick = sum((F.when(F.col("__h") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    dealt = dealt.withColumn("__pick", F.least(pick, F.col("__deep"))).select(F.col(group).alias("__g"), "trial", "__pick")
+    dealt = hashed_row_number(depth.select(F.col(group).alias("__g"), "__deep", trial), ["__g", "trial"], ["trial", "__deep"], seed, name="__rn")
+    dealt = dealt.join(F.broadcast(plan), ["trial", "__deep"]).where((F.col("__rn") > F.col("__low")) & (F.col("__rn") <= F.col("__high"))).select("__g", "trial", "__pick")
     both = rows.join(dealt, (rows[group] == dealt["__g"]) & (rows["stratum"] == dealt["__pick"])).drop("__g", "__pick")
     rest = [c for c in both.columns if c not in (group, "trial")]
+    if later_rows:
+        late = hashed_row_number(both.where(F.col("stratum") == last), [group, *order, "trial"], ["trial"], seed + 1, name="__rn").where(F.col("__rn") <= counts[last])
+        return both.where(F.col("stratum") < last).select(group, "trial", *rest).unionByName(late.select(group, "trial", *rest))
     best = both.groupBy(group, "trial").agg(F.min_by(F.struct(*rest), F.struct(hash_number(F.lit(seed + 1), F.col("trial"), *[F.col(c) for c in order]), *order)).alias("__r"))
     return best.select(group, "trial", "__r.*")
 

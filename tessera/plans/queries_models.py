@@ -225,7 +225,7 @@ def truncated_eval(spark, d):
 @query()
 def truncated_adjusted(spark, d):
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return metrics.adjusted_draws(rows, "user_id", ["ts", "event_id"], [0.4, 0.3, 0.15, 0.1, 0.05], 5)
+    return metrics.adjusted_draws(rows, "user_id", ["ts", "event_id"], [0.4, 0.3, 0.15, 0.1, 0.05], 5, later_rows=True)
 
 
 def _graded_scores(spark, d):

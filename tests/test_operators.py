@@ -238,6 +238,28 @@ def test_truncated(spark):
     assert adjusted.where("stratum > 4").count() == 0
 
 
+def test_adjusted_draws_keep_shares(spark):
+    # Half of the groups hold one row; the deepest have 9.
+    df = spark.createDataFrame([(g, i) for g in range(400) for i in range(1 if g % 2 else 1 + g % 9)], "g int, i int")
+    shares = [0.4, 0.3, 0.15, 0.1, 0.05]
+    for later in (False, True):
+        out = metrics.adjusted_draws(df, "g", ["i"], shares, 6, later_rows=later).collect()
+        for t in range(6):
+            mine = [r for r in out if r["trial"] == t]
+            drawn = [sum(r["stratum"] == s for r in mine) for s in range(5)]
+            assert all(abs(n - len(mine) * s) < 1 for n, s in zip(drawn, shares)) and len(mine) > 250
+            assert all(r["stratum"] == min(r["i"], 4) for r in mine) and len({(r["g"], r["i"]) for r in mine}) == len(mine)
+            by = {}
+            for r in mine:
+                by.setdefault(r["g"], set()).add(r["stratum"])
+            assert all(len(s) == 1 for s in by.values())
+    assert len({tuple(sorted(r["g"] for r in out if r["trial"] == t and r["stratum"] == 0)) for t in range(6)}) == 6
+    # Every later row may be drawn, also two of one group.
+    few = spark.createDataFrame([(g, i) for g in range(12) for i in range(40)], "g int, i int")
+    late = [r for r in metrics.adjusted_draws(few, "g", ["i"], [0.2, 0.2, 0.1, 0.1, 0.4], 30, later_rows=True).collect() if r["stratum"] == 4]
+    assert len({(r["g"], r["trial"]) for r in late}) < len(late) and max(r["i"] for r in late) > 30
+
+
 def test_ensembles(spark):
     df = spark.createDataFrame([(float(k), float(k) + (-1) ** k, float(k) - (-1) ** k, 9.0) for k in range(50)], "y double, a double, b double, c double")
     w, score = ensemble.blend_weights(df, "y", ["a", "b", "c"], 300)
