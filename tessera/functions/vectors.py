@@ -17,7 +17,7 @@ def row_statistics(v: Column) -> dict[str, Column]:
     return {"mean": total / n, "median": median, "sum": total, "max": F.array_max(x), "min": F.array_min(x), "var": squares / n - (total / n) * (total / n)}
 
 
-def group_statistics(df: DataFrame, key: list[str], vector: str) -> DataFrame:
+def group_statistics(df: DataFrame, key: list[str], vector: str, std=F.stddev_samp) -> DataFrame:
     """``key, dim`` and mean, std, median, min, max, sum of each dimension in a group."""
     rows = df.select(*key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    return rows.groupBy(*key, "dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"))
+    return rows.groupBy(*key, "dim").agg(F.avg("x").alias("mean"), std("x").alias("std"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("x").alias("sum"))

@@ -6,12 +6,12 @@ from itertools import permutations
 
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import text_or
-from tessera.functions.vectors import group_statistics, row_statistics
+from tessera.functions.vectors import group_statistics
 
 
 def tokens_of(columns: list[str], missing_text: str = "none") -> Column:
@@ -141,13 +141,27 @@ def entity_word_statistics(df: DataFrame, key: str, columns: list[str], order: l
     return group_statistics(words.join(vectors, F.col("__t") == F.col("__w"), "left"), [key], "v")
 
 
-def array_word_statistics(df: DataFrame, key: str, tokens: str, size: int | None = None, seed: int = 0) -> DataFrame:
-    """Six statistics (population variance) of the mean word vector of an array column; the
-    size is a quarter of the distinct tokens if none is given."""
+def array_word_statistics(df: DataFrame, key: str, tokens: str, size: int | None = None, seed: int = 0, rounds: int = 100, svd: int = -1) -> DataFrame:
+    """``key, {tokens}_w2v_{statistic}_{i}``: mean, median, sum, min, max and population std of
+    each dimension over the word vectors of an array's tokens; the size is a quarter of the
+    distinct tokens if none is given.  With ``svd`` of 2 or more ``{statistic}_svd_000..`` of that
+    size stand in their place.  Keys are distinct; one without tokens has nulls (with svd as zeros)."""
     if size is None:
         size = max(2, df.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t")).first()[0] // 4)
-    model = word_vectors(df, tokens, size, window=1, rounds=10, seed=seed)
-    return model.transform(df).select(key, *[c.alias(f"{tokens}_w2v_{n}") for n, c in row_statistics(vector_to_array("__w2v")).items()])
+    model = word_vectors(df, tokens, size, window=1, rounds=rounds, seed=seed)
+    vectors = model.getVectors().select(F.col("word").alias("__w"), vector_to_array("vector").alias("__v"))
+    words = df.select(key, F.explode(tokens).alias("__t")).join(vectors, F.col("__t") == F.col("__w"))
+    names = ("mean", "median", "sum", "min", "max", "std")
+    long = group_statistics(words, [key], "__v", F.stddev_pop)
+    wide = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", *names))).alias("__s"))  # `size` structs a key
+    wide = df.select(key).join(wide, key, "left")
+    if svd < 2:
+        return wide.select(key, *[F.get("__s", F.lit(i))[n].alias(f"{tokens}_w2v_{n}_{i}") for n in names for i in range(size)])
+    out = df.select(key)
+    for n in names:
+        x = F.coalesce(F.transform(F.col("__s")[n], lambda e: F.coalesce(F.nanvl(e, F.lit(0.0)), F.lit(0.0))), F.array_repeat(F.lit(0.0), size))
+        out = out.join(svd_features(wide.select(key, array_to_vector(x).alias("__x")), key, "__x", svd, f"{tokens}_w2v_{n}_svd"), key, "left")
+    return out
 
 
 def pretrained_mean(df: DataFrame, key: str, text: str, vectors: DataFrame, size: int) -> DataFrame:

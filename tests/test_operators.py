@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,20 @@ def test_models(spark):
     assert models.early_stop([3, 2, 2.5, 2.6], 2) == 1 and models.early_stop([3, 2, 1], 2) is None
 
 
+def test_array_word_statistics_of_each_dimension(spark):
+    rows = [(k, [f"t{(k * j) % 13}" for j in range(k % 5)]) for k in range(30)]
+    df = spark.createDataFrame(rows, "k int, t array<string>")
+    vectors = {r[0]: np.array(r[1].toArray()) for r in vectorize.word_vectors(df, "t", 3, window=1, rounds=20).getVectors().collect()}
+    got = {r["k"]: r.asDict() for r in vectorize.array_word_statistics(df, "k", "t", 3, rounds=20).collect()}
+    assert len(got) == 30 and len(got[1]) == 1 + 6 * 3
+    for k, tokens in rows:
+        for name, f in {"mean": np.mean, "median": np.median, "sum": np.sum, "min": np.min, "max": np.max, "std": np.std}.items():
+            mine = [got[k][f"t_w2v_{name}_{i}"] for i in range(3)]
+            assert mine == [None] * 3 if not tokens else mine == pytest.approx(f([vectors[t] for t in tokens], axis=0), abs=1e-6)
+    reduced = vectorize.array_word_statistics(df, "k", "t", 4, rounds=2, svd=2)
+    assert reduced.columns == ["k"] + [f"t_w2v_{n}_svd_{i:03}" for n in ("mean", "median", "sum", "min", "max", "std") for i in range(2)] and reduced.count() == 30
+
+
 def test_vectorizers(spark):
     df = spark.createDataFrame([(k, f"v{k % 3}", f"w{k % 2}", f"word{k % 4} other word{k % 3}") for k in range(24)], "k long, a string, b string, t string")
     v = vectorize.vectorise(vectorize.bags(df, "k", ["a", "b"]), "tokens")
