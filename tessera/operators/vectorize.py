@@ -45,8 +45,8 @@ def tfidf_table(counts: DataFrame, key: str) -> DataFrame:
     return both.select(key, "token", "n", (F.col("n") * F.log((F.col("__m") + 1) / (F.col("__df") + 1))).alias("tfidf"))
 
 
-def vectorise(df: DataFrame, tokens: str, kind: str = "count", vocabulary: int = 1 << 14, least: int = 1) -> DataFrame:
-    """``features``: count or tf-idf vector of an array of tokens."""
+def vectorise(df: DataFrame, tokens: str, kind: str = "count", vocabulary: int = (1 << 31) - 1, least: int = 1) -> DataFrame:
+    """``features``: count or tf-idf vector of an array of tokens, all of them by default."""
     counted = CountVectorizer(inputCol=tokens, outputCol="__tf", vocabSize=vocabulary, minDF=float(least)).fit(df).transform(df)
     if kind == "count":
         return counted.withColumnRenamed("__tf", "features")
@@ -67,21 +67,14 @@ def svd_features(df: DataFrame, key: str, vector: str, size: int, name: str) ->
     v = svd.V.toArray()
     v = v * [1 if v[abs(v[:, j]).argmax(), j] >= 0 else -1 for j in range(v.shape[1])]
     k = v.shape[1]
-    broadcast = df.sparkSession.sparkContext.broadcast(v.T.copy())  # vocabulary times size, fixed by parameters
-
-    import pandas as pd
-
-    def mapped(batches):
-        import numpy as np
+    broadcast = df.sparkSession.sparkContext.broadcast(v.copy())  # vocabulary times size; the SVD holds it on the driver
 
+    def mapped(x):
         t = broadcast.value
-        for pdf in batches:
-            x = np.stack(pdf["__v"].to_numpy()) if len(pdf) else np.zeros((0, t.shape[1]))
-            y = x @ t.T
-            yield pd.DataFrame({key: pdf[key], **{f"{name}_{j:03}": y[:, j] for j in range(k)}})
+        return (x.values @ t[x.indices] if hasattr(x, "indices") else x.toArray() @ t).tolist()  # sparse rows stay sparse
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, vector_to_array(vector).alias("__v")).mapInPandas(mapped, ", ".join([f"{key} {kind}"] + [f"{name}_{j:03} double" for j in range(k)]))
+    y = df.select(key, F.udf(mapped, "array<double>")(vector).alias("__y"))
+    return y.select(key, *[F.get("__y", F.lit(j)).alias(f"{name}_{j:03}") for j in range(k)])
 
 
 def topic_features(df: DataFrame, key: str, vector: str, size: int, name: str, seed: int = 0, rounds: int = 20) -> DataFrame:
@@ -91,7 +84,7 @@ def topic_features(df: DataFrame, key: str, vector: str, size: int, name: str, s
     return found.select(key, *[a.getItem(j).alias(f"{name}_{j:03}") for j in range(max(2, size))])
 
 
-def text_vectors(df: DataFrame, key: str, column: str, kind: str = "tfidf", size: int = 64, least: int = 2) -> DataFrame:
+def text_vectors(df: DataFrame, key: str, column: str, kind: str = "tfidf", size: int = 64, least: int = 1) -> DataFrame:
     """Count or tf-idf vectors of a text, reduced by SVD."""
     rows = df.select(key, word_tokens(F.col(column)).alias("tokens"))
     return svd_features(vectorise(rows, "tokens", kind, least=least), key, "features", size, f"{column}_{kind}{size}")

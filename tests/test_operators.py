@@ -304,6 +304,17 @@ def test_array_word_statistics_of_each_dimension(spark):
     assert reduced.columns == ["k"] + [f"t_w2v_{n}_svd_{i:03}" for n in ("mean", "median", "sum", "min", "max", "std") for i in range(2)] and reduced.count() == 30
 
 
+def test_text_vectors_keep_rare_words(spark):
+    # 16,500 words of 150 rows, each in one row; the last row has no other one.
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(110))) for k in range(150)] + [(150, "once alone")], "k int, t string")
+    v = vectorize.vectorise(df.select("k", vectorize.word_tokens(F.col("t")).alias("tokens")), "tokens")
+    assert v.first()["features"].size == 16502 and min(len(r["features"].indices) for r in v.collect()) == 2
+    few = spark.createDataFrame([(k, f"a{k} a{k} " * (k + 1)) for k in range(6)], "k int, t string")
+    got = vectorize.text_vectors(few, "k", "t", "count", 6).collect()
+    for r in got:  # every word is of a single row
+        assert sum(x * x for x in r[1:]) == pytest.approx((2 * (r["k"] + 1)) ** 2)
+
+
 def test_vectorizers(spark):
     df = spark.createDataFrame([(k, f"v{k % 3}", f"w{k % 2}", f"word{k % 4} other word{k % 3}") for k in range(24)], "k long, a string, b string, t string")
     v = vectorize.vectorise(vectorize.bags(df, "k", ["a", "b"]), "tokens")
