@@ -3,6 +3,11 @@
 Only what the HTML standard reads raw (``RAW``) is no text, and without a closing tag to the
 end of the page.  ``EMBEDDED`` elements are nodes whose text forms blocks of its own; one
 without a closing tag is ignored and its text is its parent's.  Formulas are inline text.
+Only foreign elements (``svg``, ``math`` and what they hold) close themselves by a slash.
+
+The time is linear in the page, whatever its nesting: the open elements of every name are
+known by place, so an end tag without a partner costs nothing.  Elements nested deeper than
+``DEEPEST`` hang on their ancestor of that depth, as in browsers; their text stays.
 """
 
 from __future__ import annotations
@@ -10,8 +15,10 @@ from __future__ import annotations
 import re
 from html import unescape
 
+DEEPEST = 512
+
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-label|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -30,18 +37,22 @@ BLOCK = frozenset(
 )
 #: Elements that an opening tag closes first, and those that stop the search.
 _CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select", "datalist"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)),
 }
 _ENDS_P = BLOCK - {"html", "head", "body", "title", "option", "select", "textarea", "button", "label", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend"}
 _FENCE = frozenset("td th table article section main aside nav header footer div body".split())
+_FENCED = frozenset("p li a b i span em strong".split())
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+#: A script's comment that was cut by a closing tag inside it.
+_CUT_COMMENT = re.compile(r"[^<]*?--!?>\s*</script(?=[\s/>])[^>]*>", re.I)
 
 
 class Page:
@@ -67,9 +78,24 @@ def _closed(html: str) -> set[int]:
     return found
 
 
+def _after_raw(html: str, name: str, at: int) -> int:
+    """Place after a raw element whose content begins at ``at``."""
+    close = _CLOSING[name].search(html, at)
+    if close is None:
+        return len(html)
+    if name == "script":
+        opened = html.rfind("<!--", at, close.start())
+        if opened >= 0 and html.find("-->", opened, close.start()) < 0 and (more := _CUT_COMMENT.match(html, close.end())):
+            return more.end()
+    return close.end()
+
+
 def read(html: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block node
+    places: dict[str, list[int]] = {}  # of every open name, its places in the stack
+    fences: list[int] = []  # places of open fences
+    deep: list[int] = [0]  # depth of every node
     parts: list[str] = []
     linked = links = foreign = owner = 0  # owner: the node of the parts
     at, size = 0, len(html)
@@ -96,14 +122,30 @@ def read(html: str) -> Page:
             parts.clear()
         linked = 0
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in _FENCE:
+            fences.append(len(stack))
+        stack.append((name, node))
+
+    def last(names) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def pop_to(k: int) -> None:
         """Close open elements down to index k (that one too)."""
         nonlocal links, foreign
-        if any(t in BLOCK for t, _ in stack[k:]):
+        block = False
+        while len(stack) > k:
+            name, _ = stack.pop()
+            places[name].pop()
+            if name in _FENCE:
+                fences.pop()
+            block |= name in BLOCK
+            links -= name == "a"
+            foreign -= name in _FOREIGN
+        if block:
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
-        foreign -= sum(t in _FOREIGN for t, _ in stack[k:])
-        del stack[k:]
 
     while at < size:
         m = _TAG.search(html, at)
@@ -119,12 +161,9 @@ def read(html: str) -> Page:
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if name in ("p", "li", "a", "b", "i", "span", "em", "strong") and stack[k][0] in _FENCE:
-                    break
+            k = last((name,))
+            if k and not (name in _FENCED and fences and fences[-1] > k):
+                pop_to(k)
             continue
         if name == "br" or name == "hr":
             flush()
@@ -132,36 +171,29 @@ def read(html: str) -> Page:
         if name in VOID:
             continue
         attrs = m["attrs"] if m["name"] else m["attrs2"]
-        if attrs and attrs.endswith("/") and (name in ("script", "style", "iframe") or name in EMBEDDED or name in _FOREIGN or foreign):
+        if attrs and attrs.endswith("/") and (foreign or name in _FOREIGN):
             continue
         if name in EMBEDDED:
             closed = _closed(html) if closed is None else closed
             if m.start() not in closed:
                 continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else size
+            at = _after_raw(html, name, at)
             continue
         if name in _CLOSES:
             shut, fence = _CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in fence:
+            stop = last(fence)
+            while (k := last(shut)) > stop:
+                pop_to(k)
+                if name not in ("tr", "tbody", "tfoot"):
                     break
-                if stack[k][0] in shut:
-                    pop_to(k)
-                    if name not in ("tr", "tbody", "tfoot"):
-                        break
-        foreign += name in _FOREIGN
         if name in BLOCK or name in EMBEDDED:
             if name in BLOCK:
                 flush()
             if name in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in _FENCE:
-                        break
+                k = last(("p",))
+                if k and not (fences and fences[-1] > k):
+                    pop_to(k)
             words, hidden = [], name in _UNSEEN
             if attrs and len(attrs) > 1:
                 for a in _ATTR.finditer(attrs):
@@ -170,14 +202,19 @@ def read(html: str) -> Page:
                         hidden = True
                     elif key in ("class", "id", "role", "aria-label"):
                         words += _NAME.findall(value)
+            parent = stack[-1][1]
+            if deep[parent] >= DEEPEST:
+                parent = page.parents[parent]
+            deep.append(deep[parent] + 1)
             page.tags.append(name)
-            page.parents.append(stack[-1][1])
+            page.parents.append(parent)
             page.tokens.append(tuple(words))
             page.hidden.append(hidden)
-            stack.append((name, len(page.tags) - 1))
+            push(name, len(page.tags) - 1)
         else:
             if name == "a":
                 links += 1
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
+        foreign += name in _FOREIGN
     flush()
     return page

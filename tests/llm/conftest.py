@@ -1,7 +1,11 @@
+import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
