@@ -40,11 +40,11 @@ _TAG_AT = {t: k for k, t in enumerate(_TAGS)}
 #: Words that speak of a page's furniture, by kind.
 SPEECH = {
     "notice": "cookie cookies consent privacy gdpr accept datenschutz einwilligung confidentialité privacidad",
-    "advert": "advertisement advertise advertising sponsored advert ad ads promoted anzeige werbung publicité publicidad deal offer sale discount buy shop",
+    "advert": "advertisement advertise advertising sponsored advert ad ads promoted anzeige werbung publicité publicidad discount",
     "sign": "subscribe newsletter signup login register inbox unsubscribe abonnieren anmelden abonnez suscríbete email",
-    "more": "related popular trending recommended latest read more also might next previous older newer mehr weitere plus más",
+    "more": "related popular trending recommended latest previous older newer weitere ähnliche connexes relacionados",
     "share": "share tweet facebook twitter instagram pinterest whatsapp linkedin follow teilen partager compartir",
-    "reply": "comment comments reply replies responses discussion said says kommentare antworten commentaires comentarios",
+    "reply": "comment comments reply replies responses discussion says kommentare antworten commentaires comentarios",
     "legal": "copyright © rights reserved terms imprint impressum legal mentions sitemap contact powered",
     "author": "published updated posted written author editor reporter staff correspondent min veröffentlicht publié publicado",
 }
@@ -334,13 +334,15 @@ def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, set[
 
     def words(low, high, end=0.8, kind=None, share=0.35):
         n = rng.randrange(low, high + 1)
+        stray = pick([0.0, 0.0, 0.03, 0.1])
         while True:
             out = []
             for _ in range(n):
                 if kind and chance(share):
                     out.append(pick(speech[kind]))
                     continue
-                out.append("".join(pick(sounds) for _ in range(rng.randrange(1, 4))))
+                # Main text uses these words too, now and then.
+                out.append(pick(speech[pick(list(speech))]) if chance(stray) else "".join(pick(sounds) for _ in range(rng.randrange(1, 4))))
                 if chance(0.12):
                     out[-1] += pick([",", ".", ",", "###", "!!", ";"])
             if kind and not set(out) & set(speech[kind]):
