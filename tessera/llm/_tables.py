@@ -2,7 +2,9 @@
 
 Intermediate results are written as Parquet below the folder that the session
 names in ``spark.checkpoint.dir``: every executor can read them again, whatever
-executor wrote them, and they cut lineage.
+executor wrote them, and they cut lineage.  Tables that are made inside a
+:func:`scratch` block go when it ends; what a lazy result still reads stays until the
+application does.
 """
 
 from __future__ import annotations
@@ -11,39 +13,81 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
+_MARKED: set[str] = set()
+_SCOPES: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set."""
+    """The cluster's checkpoint folder; in local mode, a local one if none is set."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if top:
         return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tessera-")
     return f"file://{_FALLBACK['dir']}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back."""
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tessera-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if folder not in _MARKED:
+        system, place = _file_system(spark, folder)
+        system.deleteOnExit(place)
+        _MARKED.add(folder)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back."""
+    out = _written(df, name)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table of :func:`stored` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    system, place = _file_system(df.sparkSession, df.stored_at)
+    system.delete(place, True)
+
+
+@contextmanager
+def scratch():
+    """Delete the tables stored inside the block at its end, whatever happens.  Yields a
+    function that stores a result which outlives the block."""
+    mine: list[DataFrame] = []
+    _SCOPES.append(mine)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = _written(df, name)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(out)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for df in mine:
+            dropped(df)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

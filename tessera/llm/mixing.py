@@ -4,181 +4,244 @@ Every source gets a target of words; a document is taken ``floor(r)`` times plus
 random remainder with probability ``r - floor(r)``, where r is target over source
 size.  The remainders are rounded together: two partners at a time exchange
 probability so that their expected words stay the same, until one of them is integral
-(taken or not); the other goes on with what is left.  Groups of about ``group``
-documents fold this way in parallel and pass one residual each to the next level of a
-reduction tree; the last residual of a source is rounded by its own probability.
+(taken or not); the other goes on with what is left and meets the next.  Groups of about
+``group`` documents fold this way in parallel and pass one residual each to the next
+level of a reduction tree; the last residual of a source is rounded by its own
+probability.  Partners meet longest first, so that long documents settle among themselves;
+one that meets only far shorter ones exchanges words with all of them together (see
+``_fold``).  A source misses its target by less than one document, as a rule a short one.
 
-In the first level a document's partner is the block of all shorter documents of its
-group, longest document first, so that a very long document is settled by many short
-ones and the residual is short.  So a source misses its target by less than one
-document, as a rule a short one.
+Rows repeated in full are one unit of n documents: of their n equal remainders, pairwise
+rounding leaves ``floor(n p)`` taken and one fraction, which is the unit's remainder.
 
 All randomness is a hash of the seed and ids, so reruns agree.  Only DataFrame
 functions are used.  A hot source is dealt to as many groups as it needs; a group
-collects at most a few hundred small structs.
-
-Defined cases: null text has size 0, is never wanting and taken as size 0; documents
-equal in (doc_id, source, size) are one unit and taken equally often; null source is a
-source of its own, last in order; sources of size 0 get target 0; an empty table gives
-an empty result; extra columns are ignored.
+collects at most a few hundred small structs.  Sources are ranked inside ranges of their
+names, and the targets' common level is found by sums, so no task needs all sources.
+
+Defined cases: null text has size 0 and very long texts count all their words; documents
+of size 0 round like those of one word, and take 0 words; documents that tie in doc_id, or have none,
+but differ in text, source or any other column are units of their own; rows repeated in
+full are taken equally often, but some once more; null source is a source of its own, last
+in order; sources of size 0 get target 0; an empty table gives an empty result; extra
+columns are kept by ``mixed`` and otherwise only tell rows apart, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from tessera.llm._tables import let, stored, word_count
+from tessera.llm._tables import scratch, stored, word_count
 
-SEED, GROUP, CAP, WEIGHTS = 17, 96, 3, (1, 2, 3)
+SEED, GROUP, CAP, WEIGHTS, GAP = 17, 512, 3, (1, 2, 3), 4
+#: Sources up to this number are broadcast with their targets; beyond, the join is salted.
+BROADCAST_SOURCES, SALTS = 500_000, 32
+#: Keys (16 bytes) of rows repeated in full up to this number are broadcast.
+BROADCAST_KEYS = 1_000_000
+#: Ranges that source names are ranked in, and the names that their cuts are chosen from.
+RANGES, CUT_SAMPLE = 64, 4096
 
 
 def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``: number of the source from 0 in code-point order, null last."""
+    # Cuts of a bounded sample of names; ranks are exact whatever the cuts.
+    some = sorted(r[0] for r in sizes.where("source is not null").orderBy(F.xxhash64("source"), "source").limit(CUT_SAMPLE).select("source").collect())
+    cuts = some[:: len(some) // RANGES][1:] if len(some) >= RANGES else []
+    if not cuts:
+        return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)  # fewer rows than ranges
+    part = F.when(F.col("source").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("source"))) if cuts else F.lit(0))
+    rows = sizes.withColumn("part", part)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("low"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("source"))
+    return rows.join(F.broadcast(starts), "part").withColumn("place", F.col("low") + inside - 1).drop("part", "low")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """Targets of ``sizes(source, source_size)``: shares of the total by repeating weight
     in code-point order (null last), never above ``cap`` times the source's size, what is
     over being shared again by weight.
 
-    At a common level t a source gets ``min(weight * t, cap * size)``; sorted by the t at
-    which a source is full, running sums give the one t that uses up the total.
-    """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    # One row a source.
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("full", cap * F.col("source_size") / F.col("w"))
-    below = Window.orderBy("full", F.col("source").isNull(), "source")
-    prior = below.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
-        "*",
-        F.coalesce(F.sum(cap * F.col("source_size")).over(prior), F.lit(0.0)).alias("used"),
-        F.sum("w").over(below.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("w_left"),
-        F.sum("source_size").over(all_rows).cast("double").alias("total"),
+    At a common level t a source gets ``min(weight * t, cap * size)``.  The level starts at
+    total over weights and rises while sources fill up: each step spreads what the full
+    ones leave over the weights of the others, from three sums over the sources."""
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = stored(_numbered(sizes).withColumn("w", w).withColumn("full", cap * F.col("source_size") / F.col("w")), "places")
+    total, weight = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    level, total = (total or 0) / (weight or 1), total or 0
+    while True:
+        over = F.col("full") <= level
+        used, left = rows.agg(F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("w")))).first()
+        if not left:
+            level = float("inf")
+            break
+        new = (total - cap * (used or 0)) / left
+        if new <= level:
+            break
+        level = new
+    return rows.select("source", "source_size", F.least(F.col("w") * F.lit(level), cap * F.col("source_size")).cast("double").alias("target"))
+
+
+_KEYS = ["doc_id", "size", "k1", "k2", "n"]
+_ITEM = "struct<rank:double,key:bigint,doc_id:bigint,size:bigint,k1:bigint,k2:bigint,n:bigint,weight:double,sure:bigint,p:double>"
+_FIELDS = ["rank", "key", *_KEYS, "weight", "sure"]
+_DONE = "struct<doc_id:bigint,size:bigint,k1:bigint,k2:bigint,n:bigint,total:bigint>"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` where ``name`` stands for ``value``, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _done(x: str, p: str) -> str:
+    keys = ", ".join(f"'{c}', {x}.{c}" for c in _KEYS)
+    return f"named_struct({keys}, 'total', {x}.sure + if({p} > 0.5D, 1L, 0L))"
+
+
+def _with_p(x: str, p: str) -> str:
+    fields = ", ".join(f"'{f}', {x}.{f}" for f in _FIELDS)
+    return f"named_struct({fields}, 'p', greatest(0D, least(1D, {p})))"
+
+
+def _state(left: str, done: str, p: str, words: str) -> str:
+    return f"named_struct('left', {left}, 'done', {done}, 'p', {p}, 'words', {words})"
+
+
+def _exchange(p: str, words: str) -> str:
+    """Two partners ``a`` and ``y``: words move from one to the other, so that the expected
+    words of each stay, until one of them is integral and done; the other is left."""
+    # "up" lifts a until a is taken or y is empty, "down" the other way.
+    amounts = "named_struct('up', least((1 - a.p) * a.weight, y.p * y.weight), 'down', least(a.p * a.weight, (1 - y.p) * y.weight))"
+    moved = """named_struct(
+        'pa', if(lift, a.p + m.up / a.weight, a.p - m.down / a.weight),
+        'py', if(lift, y.p - m.up / y.weight, y.p + m.down / y.weight),
+        'a_done', if(lift, (1 - a.p) * a.weight <= y.p * y.weight, a.p * a.weight <= (1 - y.p) * y.weight))"""
+    one = _state(_with_p("y", "r.py"), _done("a", "r.pa"), p, words)
+    two = _state(_with_p("a", "r.pa"), _done("y", "r.py"), p, words)
+    return _let("m", amounts, _let("lift", "coin * (m.up + m.down) < m.down", _let("r", moved, f"if(r.a_done, {one}, {two})")))
+
+
+def _fold(items: str, seed: int, level: int) -> Column:
+    """Fold fractions pairwise, longest first, to one; whoever becomes integral is done.
+
+    In the first level all unmet documents have one probability, ``acc.p``.  Where the next
+    one is shorter than a ``GAP``-th of the document that is left, hundreds of pairs might not
+    settle the long one; its partner is then all the unmet ones together, if their words
+    suffice to settle it either way: their common probability gives or takes them, and only
+    the long document becomes integral."""
+    mine = "x.n = 1" if level == 0 else "false"
+    fewer = f"if({mine}, acc.words - x.weight, acc.words)"
+    first = _state("y", f"CAST(NULL AS {_DONE})", "acc.p", fewer)
+    settles = f"{mine} AND x.weight * {GAP} < a.weight AND (1 - a.p) * a.weight <= acc.p * acc.words AND a.p * a.weight <= (1 - acc.p) * acc.words"
+    shifted = "greatest(0D, least(1D, if(coin < a.p, acc.p - (1 - a.p) * a.weight / acc.words, acc.p + a.p * a.weight / acc.words)))"
+    pool = _let("q", shifted, _state(_with_p("x", "q"), _done("a", "if(coin < a.p, 1D, 0D)"), "q", fewer))
+    coin = f"shiftrightunsigned(xxhash64({seed}, {level}, a.key, x.key), 11) / {float(1 << 53)!r}D"
+    met = _let("coin", coin, f"if({settles}, {pool}, {_exchange('acc.p', fewer)})")
+    step = _let("y", _with_p("x", f"if({mine}, acc.p, x.p)"), _let("a", "acc.left", f"if(a IS NULL, {first}, {met})"))
+    alone = f"filter({items}, x -> x.n = 1)"
+    step = step.replace("acc.", "acc.now.")
+    start = _state(f"CAST(NULL AS {_ITEM})", f"CAST(NULL AS {_DONE})", f"coalesce(get({alone}, 0).p, 0D)", f"aggregate({alone}, 0D, (t, x) -> t + x.weight)")
+    # What was done in the last step joins the list here, outside of every _let: those copy.
+    out = "if(acc.now.done IS NULL, acc.out, concat(acc.out, array(acc.now.done)))"
+    return F.expr(
+        f"aggregate({items}, named_struct('out', CAST(array() AS array<{_DONE}>), 'now', {start}),"
+        f" (acc, x) -> named_struct('out', {out}, 'now', {step}), acc -> named_struct('left', acc.now.left, 'out', {out}))"
     )
-    # The level if this source and all fuller ones are not full yet; it holds from the first source it does not fill.
-    rows = rows.withColumn("t", (F.col("total") - F.col("used")) / F.col("w_left"))
-    level = F.max(F.when(F.col("t") <= F.col("full"), F.col("t"))).over(all_rows)
-    return rows.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), cap * F.col("source_size")).otherwise(F.least(F.col("w") * F.col("level"), cap * F.col("source_size"))).cast("double").alias("target"))
-
-
-_ITEM = "struct<rank:double,key:bigint,doc_id:bigint,size:bigint,weight:double,n:bigint,whole:bigint,p:double>"
-_DONE = "array<struct<doc_id:bigint,size:bigint,n:bigint,copies:bigint>>"
-
-
-def _done(x: Column, p: Column) -> Column:
-    return F.array(F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["n"].alias("n"), (x["whole"] + F.when(p > 0.5, 1).otherwise(0)).cast("long").alias("copies"))).cast(_DONE)
-
-
-def _with_p(x: Column, p: Column) -> Column:
-    return x.withField("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).cast(_ITEM)
 
 
-def _fold_first(items: Column, seed: int) -> Column:
-    """First level: all probabilities are equal.  Each document, longest first, exchanges
-    words with the block of all shorter ones of its group, whose common probability
-    moves; either the document becomes integral, or the whole block does."""
-    state = f"struct<p:double,w:double,left:{_ITEM},out:{_DONE}>"
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes that tell apart rows of equal doc_id, size and source."""
+    columns = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if isinstance(f.dataType, (MapType, ArrayType, StructType)) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    names = F.lit("row")
+    return F.xxhash64(names, *columns), F.xxhash64(F.lit("twin"), *reversed(columns))
 
-    def step(acc: Column, x: Column) -> Column:
-        p, w, rest = acc["p"], x["weight"], acc["w"] - x["weight"]
-        coin = _uniform(F.lit(seed), F.lit("first"), x["key"])
-        moved = F.struct(F.least((1 - p) * w, p * rest).alias("up"), F.least(p * w, (1 - p) * rest).alias("down"))
 
-        def exchange(m: Column) -> Column:
-            lift = coin * (m["up"] + m["down"]) < m["down"]
-            return F.struct(
-                F.when(lift, p + m["up"] / w).otherwise(p - m["down"] / w).alias("px"),
-                F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(lift, p - m["up"] / rest).otherwise(p + m["down"] / rest))).alias("pr"),
-                F.when(lift, (1 - p) * w <= p * rest).otherwise(p * w <= (1 - p) * rest).alias("whole"),
-            )
-
-        def after(r: Column) -> Column:
-            left = F.when(~r["whole"], _with_p(x, r["px"]))
-            out = F.when(r["whole"], F.concat(acc["out"], _done(x, r["px"]))).otherwise(acc["out"])
-            return F.struct(r["pr"].alias("p"), rest.alias("w"), left.alias("left"), out.alias("out")).cast(state)
-
-        stuck = F.struct(p.alias("p"), rest.alias("w"), acc["left"].alias("left"), F.concat(acc["out"], _done(x, p)).alias("out")).cast(state)
-        last = F.struct(p.alias("p"), F.lit(0.0).alias("w"), _with_p(x, p).alias("left"), acc["out"].alias("out")).cast(state)
-        return F.when(acc["left"].isNotNull(), stuck).when(rest < 0.5, last).otherwise(let(let(moved, exchange), after))
-
-    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + x["weight"])
-    start = F.struct(F.get(items, F.lit(0))["p"].alias("p"), total.alias("w"), F.lit(None).cast(_ITEM).alias("left"), F.array().cast(_DONE).alias("out")).cast(state)
-    return F.aggregate(items, start, step)
-
-
-def _fold(items: Column, seed: int, level: int) -> Column:
-    """Later levels: fold residuals pairwise to one; whoever becomes integral is done."""
-    done, with_p = _done, _with_p
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["left"]
-        # Move words from one to the other: up lifts a until a is taken or x is empty.
-        up = F.least((1 - a["p"]) * a["weight"], x["p"] * x["weight"])
-        down = F.least(a["p"] * a["weight"], (1 - x["p"]) * x["weight"])
-        coin = _uniform(F.lit(seed), F.lit(level), a["key"], x["key"])
-        return let(
-            F.struct(up.alias("up"), down.alias("down"), (coin * (up + down) < down).alias("lift")),
-            lambda m: let(
-                F.struct(
-                    F.when(m["lift"], a["p"] + m["up"] / a["weight"]).otherwise(a["p"] - m["down"] / a["weight"]).alias("pa"),
-                    F.when(m["lift"], x["p"] - m["up"] / x["weight"]).otherwise(x["p"] + m["down"] / x["weight"]).alias("px"),
-                    F.when(m["lift"], (1 - a["p"]) * a["weight"] <= x["p"] * x["weight"]).otherwise(a["p"] * a["weight"] <= (1 - x["p"]) * x["weight"]).alias("a_done"),
-                ),
-                lambda r: F.when(
-                    r["a_done"], F.struct(with_p(x, r["px"]).alias("left"), F.concat(acc["out"], done(a, r["pa"])).alias("out"))
-                ).otherwise(F.struct(with_p(a, r["pa"]).alias("left"), F.concat(acc["out"], done(x, r["px"])).alias("out"))),
-            ),
-        )
-
-    start = F.struct(F.get(items, F.lit(0)).cast(_ITEM).alias("left"), F.array().cast(_DONE).alias("out"))
-    return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), start.cast(f"struct<left:{_ITEM},out:{_DONE}>"), lambda acc, x: step(acc, x).cast(f"struct<left:{_ITEM},out:{_DONE}>"))
+def _identified(docs: DataFrame) -> DataFrame:
+    one, two = _row_keys(docs)
+    return docs.withColumns({"__tessera_doc": F.col("doc_id").cast("long"), "__tessera_source": F.col("source").cast("string"), "__tessera_size": word_count(F.col("text")), "__tessera_k1": one, "__tessera_k2": two})
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """``doc_id, source, size, n, source_size, target, copies``: one row for each distinct
-    (doc_id, source, size) with the number n of such rows and how often each is taken."""
-    units = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")),
-        "units",
-    )
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count("*").alias("members"))
-    sizes = stored(sizes, "sources")
-    targets = source_targets(sizes.select("source", "source_size"), weights, cap)
-    per_source = stored(targets.withColumn("s2", F.coalesce("source", F.lit(""))).withColumn("s_null", F.col("source").isNull()).join(sizes.select(F.coalesce("source", F.lit("")).alias("s2"), F.col("source").isNull().alias("s_null"), "members"), ["s2", "s_null"]), "targets")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = units.withColumn("s2", F.coalesce("source", F.lit(""))).withColumn("s_null", F.col("source").isNull()).join(per_source.select("s2", "s_null", "source_size", "target", "members", F.least(ratio, F.lit(float(cap))).alias("r")), ["s2", "s_null"])
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
-    rows = rows.select(
-        "s2", "s_null", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.ceil(F.col("members") / group)).alias("g"),
-        F.struct((-F.greatest(F.col("size") * F.col("n"), F.lit(1))).cast("double").alias("rank"), key.alias("key"), "doc_id", "size", F.greatest(F.col("size") * F.col("n"), F.lit(1)).cast("double").alias("weight"), "n", F.floor("r").cast("long").alias("whole"), (F.col("r") - F.floor("r")).alias("p")).cast(_ITEM).alias("item"),
-    )
-    most = sizes.agg(F.max("members")).first()[0] or 0
-    outs, level = [], 0
-    while True:
-        last = most <= group
-        folded = rows.groupBy("s2", "s_null", "g").agg(F.sort_array(F.collect_list("item")).alias("items")).select("s2", "s_null", "g", (_fold(F.col("items"), seed, level) if level else _fold_first(F.col("items"), seed)).alias("f"))
-        folded = stored(folded.select("s2", "s_null", "g", "f.left", "f.out"), f"level{level}")
-        outs.append(folded.select("s2", "s_null", F.explode("out").alias("d")).select("s2", "s_null", "d.*"))
-        if last and level:
-            left = folded.select("s2", "s_null", "left.*")
-            outs.append(left.select("s2", "s_null", "doc_id", "size", "n", (F.col("whole") + (_uniform(F.lit(seed), F.lit("last"), F.col("key")) < F.col("p")).cast("long")).alias("copies")))
-            break
-        most = -(-most // group)
-        level += 1
-        # Groups of groups; when few are left, one group a source.
-        rows = folded.select("s2", "s_null", (F.lit(0) if most <= group else F.floor(F.col("g") / group)).cast("long").alias("g"), F.col("left").alias("item"))
-    out = outs[0]
-    for more in outs[1:]:
-        out = out.unionByName(more)
-    return out.join(per_source.select("s2", "s_null", "source", "source_size", "target"), ["s2", "s_null"]).select("doc_id", "source", "size", "n", "source_size", "target", "copies")
+    """``doc_id, source, size, k1, k2, n, source_size, target, total``: one row for each
+    distinct row of ``docs`` (``k1, k2`` hash it) with the number n of such rows and how
+    often they are taken in all: each ``total div n`` times, ``total mod n`` of them once more."""
+    with scratch() as keep:
+        marked = _identified(docs)
+        names = {"doc": "doc_id", "source": "source", "size": "size", "k1": "k1", "k2": "k2"}
+        units = stored(marked.select(*[F.col(f"__tessera_{k}").alias(v) for k, v in names.items()]).groupBy(*names.values()).agg(F.count("*").alias("n")), "units")
+        sizes = stored(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.count("*").alias("members")), "sources")
+        number, most = sizes.agg(F.count("*"), F.max("members")).first()
+        per_source = stored(_joined(source_targets(sizes.select("source", "source_size"), weights, cap), sizes.select("source", "members"), number), "targets")
+        ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+        rows = _joined(units, per_source.select("source", "members", ratio.alias("r")), number)
+        want = F.col("n") * (F.col("r") - F.floor("r"))
+        weight = F.greatest(F.col("size"), F.lit(1)).cast("double")
+        rows = rows.select(
+            "source",
+            F.pmod(F.xxhash64(F.lit(seed + 1), "k1", "k2"), F.ceil(F.col("members") / group)).alias("g"),
+            F.struct(
+                F.when(F.col("n") > 1, -1e18).otherwise(-weight).alias("rank"), F.xxhash64(F.lit(seed), "k1", "k2").alias("key"), *_KEYS, weight.alias("weight"),
+                (F.col("n") * F.floor("r") + F.floor(want)).cast("long").alias("sure"), (want - F.floor(want)).alias("p"),
+            ).cast(_ITEM).alias("item"),
+        )
+        most, outs, level = most or 0, [], 0
+        while True:
+            folded = rows.groupBy("source", "g").agg(F.sort_array(F.collect_list("item")).alias("items")).select("source", "g", _fold("items", seed, level).alias("f"))
+            folded = stored(folded.select("source", "g", "f.left", "f.out"), f"level{level}")
+            outs.append(folded.select("source", F.explode("out").alias("d")).select("source", "d.*"))
+            most = -(-most // group)
+            if most <= 1:
+                left = folded.select("source", "left.*")
+                outs.append(left.select("source", *_KEYS, (F.col("sure") + (_uniform(F.lit(seed), F.lit("last"), F.col("key")) < F.col("p")).cast("long")).alias("total")))
+                break
+            level += 1
+            rows = folded.select("source", F.floor(F.col("g") / group).cast("long").alias("g"), F.col("left").alias("item"))
+        out = outs[0]
+        for more in outs[1:]:
+            out = out.unionByName(more)
+        found = _joined(out, per_source.select("source", "source_size", "target"), number)
+        return keep(found.select("doc_id", "source", "size", "k1", "k2", "n", "source_size", "target", "total"), "mixture")
+
+
+def _joined(rows: DataFrame, sources: DataFrame, number: int) -> DataFrame:
+    """``rows`` with the columns of their source; a hot source is spread over salts."""
+    right = sources.withColumnRenamed("source", "__source")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if number <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(right), same).drop("__source")
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = [c for c in rows.columns if c != "source"]
+    left = rows.withColumn("__of", F.pmod(F.hash(*others), F.lit(SALTS)))
+    return left.join(right, same & (F.col("__of") == F.col("__salt"))).drop("__source", "__salt", "__of")
+
+
+def taken_rows(found: DataFrame) -> DataFrame:
+    """The rows of :func:`mixture`, one for each row of the documents, with ``copies``."""
+    each = found.withColumn("__place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.withColumn("copies", F.floor(F.col("total") / F.col("n")) + (F.col("__place") <= F.col("total") % F.col("n")).cast("long")).drop("__place")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` as the mix takes them: left out, once, or repeated."""
     names = docs.columns
-    plan = mixture(docs, **options).where("copies > 0").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).alias("__tessera_key"), F.col("copies").alias("__tessera_copies"))
-    rows = docs.withColumn("__tessera_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), word_count(F.col("text")).cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))))
-    return rows.join(plan, "__tessera_key").withColumn("__tessera_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tessera_copies")))).select(*names)
+    plan = mixture(docs, **options).where("total > 0 or n > 1").select(F.col("k1").alias("__tessera_p1"), F.col("k2").alias("__tessera_p2"), F.col("n").alias("__tessera_n"), F.col("total").alias("__tessera_total"))
+    one, two = _row_keys(docs)
+    rows = docs.withColumns({"__tessera_k1": one, "__tessera_k2": two})
+    same = (F.col("__tessera_k1") == F.col("__tessera_p1")) & (F.col("__tessera_k2") == F.col("__tessera_p2"))
+    times = lambda df: df.withColumn("__tessera_copy", F.explode(F.expr("if(__tessera_total > 0, sequence(1L, __tessera_total), array())")))
+    again = plan.where("__tessera_n > 1")
+    number = again.count()
+    if not number:
+        return times(rows.join(plan, same)).select(*[f"`{c}`" for c in names])
+    # Rows repeated in full collapse before they are moved, so that none of them is hot.
+    keys = F.broadcast(again.select("__tessera_p1", "__tessera_p2")) if number <= BROADCAST_KEYS else again.select("__tessera_p1", "__tessera_p2")
+    single = times(rows.join(keys, same, "left_anti").join(plan.where("__tessera_n = 1"), same)).select(*[f"`{c}`" for c in names])
+    twice = rows.join(keys, same, "left_semi") if number <= BROADCAST_KEYS else rows
+    twice = twice.groupBy("__tessera_k1", "__tessera_k2").agg(F.first(F.struct(*[f"`{c}`" for c in names])).alias("__tessera_row"))
+    return single.unionByName(times(twice.join(again, same)).select("__tessera_row.*"))

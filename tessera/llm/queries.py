@@ -59,9 +59,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixture(documents(spark, sf_dir))
-    rows = found.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = mixing.taken_rows(mixing.mixture(documents(spark, sf_dir)))
+    return found.select("doc_id", "size", "source", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_token_counts, op4_toxicity, op5_quality_rules, op6_license_scans, op7_document_fingerprints, op8_secret_scans, op9_best_fit_packing, op10_source_mixing)}

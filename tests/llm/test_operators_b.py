@@ -321,23 +321,73 @@ def test_mixing(spark, frame, cluttered, tmp_path):
 
 
 def test_mixing_is_fair(spark, frame):
-    """Over seeds, a document is taken as often as its probability says."""
-    texts = ["w " * n for n in (3, 5, 8, 13, 2, 7, 4, 6, 9, 11)] + ["v " * 100]
-    sources = ["a"] * 10 + ["b"]
-    docs = frame(texts, sources=sources)
-    hits, runs = Counter(), 24
-    for seed in range(runs):
-        for r in mixing.mixture(docs, seed=seed, group=4).collect():
-            hits[r["doc_id"]] += r["copies"]
-            share = r["target"] / r["source_size"]
-    want = {k: (168 / 3) / 68 for k in range(10)}
-    assert share > 0 and all(abs(hits[k] / runs - want[k]) < 0.35 for k in want)
+    """Over 50 sources of the same sizes, and so 50 draws, a document is taken as often as its
+    probability says, and no source misses its target by as much as its longest document."""
+    sizes, draws = [3, 5, 8, 13, 2, 7, 4, 6, 9, 11], 50
+    texts = ["w " * n for _ in range(draws) for n in sizes] + ["v " * 100] * draws
+    sources = [f"a{k}" for k in range(draws) for _ in sizes] + [f"b{k}" for k in range(draws)]
+    rows = mixing.mixture(frame(texts, sources=sources), weights=(1,), group=4).collect()
+    hits, words = Counter(), Counter()
+    for r in rows:
+        if r["source"].startswith("a"):
+            hits[r["size"]] += r["total"]
+            words[r["source"]] += r["total"] * r["size"]
+    assert all(abs(words[f"a{k}"] - 84) < 13 for k in range(draws)) and len(rows) == 11 * draws
+    share = 84 / 68 - 1
+    assert all(abs(hits[n] / draws - 84 / 68) < 4 * (share * (1 - share) / draws) ** 0.5 for n in sizes), hits
+
+
+def test_mixing_with_a_dominant_document(frame):
+    """One document of 20,000 words among 80 of 50: the short ones round one by one."""
+    docs = frame(["w " * 20000] + ["w " * 50] * 80 + ["v " * 1000] * 6, sources=["a"] * 81 + ["b"] * 6)
+    for seed in range(3):
+        rows = [r for r in mixing.mixture(docs, seed=seed).collect() if r["source"] == "a"]
+        short = [r["total"] for r in rows if r["size"] == 50]
+        assert abs(sum(r["total"] * r["size"] for r in rows) - rows[0]["target"]) < 20000
+        assert len(short) == 80 and 0 < sum(x == max(short) for x in short) < 80
+
+
+def test_mixing_of_repeated_rows(spark, frame):
+    """300 rows without an id, some repeated in full: the target is missed by one row at most."""
+    texts = ["w " * 10] * 200 + [f"w{k} " * 10 for k in range(100)] + ["v " * 500]
+    docs = frame(texts, ids=[None] * 300 + [7], sources=["a"] * 300 + ["b"])
+    found = mixing.mixture(docs)
+    rows = found.where("source = 'a'").collect()
+    assert sorted(r["n"] for r in rows) == [1] * 100 + [200]
+    assert abs(sum(r["total"] * r["size"] for r in rows) - rows[0]["target"]) < 10
+    each = mixing.taken_rows(found).collect()
+    assert len(each) == 301 and max(r["copies"] for r in each) - min(r["copies"] for r in each if r["source"] == "a") <= 3
+    kept = Counter(r["text"] for r in mixing.mixed(docs).collect())
+    whole = Counter()
+    for r in rows:
+        whole[r["n"] == 200] += r["total"]
+    assert kept[texts[0]] == whole[True] and sum(n for t, n in kept.items() if t.startswith("w")) == whole[True] + whole[False]
+
+
+def test_source_levels(spark):
+    rng = random.Random(8)
+    for kind in range(4):
+        sizes = {f"s{k:03}": [rng.randint(1, 1000), 2**(k % 30), 5, rng.choice([0, 1, 10**6])][kind] for k in range(150)} | {None: 77, "": 3, "é😀": 50}
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        want = brute_targets(sizes)
+        assert len(got) == len(sizes) and all(abs(r["target"] - want[r["source"]]) <= 1e-6 * max(1, want[r["source"]]) for r in got)
+
+
+def test_mixing_beyond_broadcast(spark, frame, monkeypatch):
+    docs = frame([f"w{k % 7} " * (k % 9) for k in range(200)], ids=[k % 50 for k in range(200)], sources=[["a", "b", None, ""][k % 4] for k in range(200)])
+    docs = docs.union(docs.limit(60))
+    want = sorted(map(str, mixing.mixture(docs).collect()))
+    kept = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_KEYS", 0)
+    assert sorted(map(str, mixing.mixture(docs).collect())) == want
+    assert sorted(map(str, mixing.mixed(docs).collect())) == kept
 
 
 def test_mixing_edges(frame):
     assert mixing.mixture(frame([])).count() == 0 and mixing.mixed(frame([])).count() == 0
     got = mixing.mixture(frame([None, "", "  "], sources=[None, "a", "a"])).collect()
-    assert {(r["size"], r["target"], r["copies"]) for r in got} == {(0, 0.0, 0)}
+    assert {(r["size"], r["target"], r["total"]) for r in got} == {(0, 0.0, 0)}
     twice = mixing.mixture(frame(["a b c", "a b c", "d e"], ids=[1, 1, None], sources=["x", "x", "y"])).collect()
     assert sorted((r["doc_id"] or -1, r["n"]) for r in twice) == [(-1, 1), (1, 2)]
 
