@@ -2,20 +2,27 @@
 
 Licence templates are word sequences.  One suffix automaton holds all their substrings;
 a file's words stream through it and give matching statistics: at each word, the
-longest phrase ending there that stands in some template.  Maximal phrases of
-``MIN_MATCH`` words or more are chained, in file order and template order, into spans
-per template; a template is reported when its chain covers ``MIN_COVER`` of it.
+longest phrase ending there that stands in some template, and, over its suffix links,
+the longest one that stands in a given template.  Where that stops growing, a phrase of
+``MIN_MATCH`` words or more (or a whole shorter template) is a match, at every place where
+the template holds it.  Matches are chained, in file order and template order, into spans
+per template; a template is reported when its chain covers ``MIN_COVER`` of it.  Matches
+with more than ``MAX_GAP`` other file words between them are not chained: a licence that is
+broken by a longer insertion shows as its better part.
 
-Only words that occur in a template can move the automaton from its start, so runs of
-such words are found with vectorised hashing and only they are streamed.
+Only words that occur in a template or phrase can move the automaton from its start, so
+runs of such words are found with vectorised hashing and only they are streamed.
 
-Defined cases: null text is empty: no words, empty labels, score 0; repeated rows each
-get their row; templates repeated in a text raise the count of places, labels stay
-distinct; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null text is empty: no words, empty labels, score 0; very long texts are
+read whole; repeated rows, and rows that tie in doc_id, each get their row; templates
+repeated in a text raise the count of places, labels stay distinct; of spans that cover
+equally much, the first in the file counts; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import numpy as np
@@ -62,9 +69,9 @@ TEMPLATES = [
 ]
 
 
-def build_automaton(sequences: list[list[int]]) -> tuple[list[dict[int, int]], list[int], list[int], list[dict[int, int]]]:
+def build_automaton(sequences: list[list[int]]) -> tuple[list[dict[int, int]], list[int], list[int], list[dict[int, list[int]]]]:
     """Generalised suffix automaton: transitions, suffix links, longest lengths, and per
-    state the first end position in each sequence that holds its phrases."""
+    state all end positions in each sequence that holds its phrases."""
     go, link, longest, ends = [{}], [-1], [0], [{}]
 
     def extend(last: int, c: int) -> int:
@@ -116,37 +123,45 @@ def build_automaton(sequences: list[list[int]]) -> tuple[list[dict[int, int]], l
         for i, c in enumerate(words):
             state = go[state][c]
             s = state
-            while s > 0 and t not in ends[s]:
-                ends[s][t] = i + 1
+            while s > 0:
+                ends[s].setdefault(t, []).append(i + 1)
                 s = link[s]
     return go, link, longest, ends
 
 
-def matches(ids, go, link, longest, least: int):
-    """Maximal phrases ``(end, length, state)`` of at least ``least`` words: where the
-    matching statistic does not grow at the next word."""
+def statistics(ids, go, link, longest) -> list[tuple[int, int]]:
+    """Per word the state and the length of the longest phrase ending there."""
     out, state, size = [], 0, 0
-    for i, c in enumerate(ids):
-        was, was_state = size, state
+    for c in ids:
         while state and c not in go[state]:
             state = link[state]
             size = longest[state]
         if c in go[state]:
-            state = go[state][c]
-            size += 1
+            state, size = go[state][c], size + 1
         else:
             state = size = 0
-        if was >= least and size <= was:
-            out.append((i, was, was_state))
-    if size >= least:
-        out.append((len(ids), size, state))
+        out.append((state, size))
     return out
 
 
-def chain(found, template: int, ends, gap: int):
-    """Best chain of phrases in rising file and template order: words of the template that
-    it covers, first and last file word.  ``found`` rows are ``(end, length, state)``."""
-    items = [(end, size, ends[state][template]) for end, size, state in found if template in ends[state]]
+def matches(stats, template: int, link, longest, ends, least: int, offset: int = 0) -> list[tuple[int, int, list[int]]]:
+    """Phrases ``(end, length, places)`` of a template, of at least ``least`` words, where
+    the longest phrase of the template does not grow at the next word."""
+    out, was = [], (0, 0)
+    for i, (state, size) in enumerate([*stats, (0, 0)]):
+        while state and template not in ends[state]:
+            state = link[state]
+            size = longest[state]
+        if was[1] >= least and size <= was[1]:
+            out.append((offset + i, was[1], ends[was[0]][template]))
+        was = (state, size)
+    return out
+
+
+def chain(found, gap: int):
+    """Best chain of matches ``(end, length, places)`` of one template in rising file and
+    template order: words of the template that it covers, first and last file word."""
+    items = [(end, size, at) for end, size, places in sorted(found, key=lambda f: f[0]) for at in places]
     best, back = [], []
     for k, (end, size, at) in enumerate(items):
         score, first = size, end - size
@@ -166,11 +181,36 @@ def chain(found, template: int, ends, gap: int):
     return best[k], back[k], items[k][0]
 
 
+def template_words(text: str) -> str:
+    """A licence text as templates hold it: its words, lower-cased, one blank between."""
+    return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+
+def template_folder(spark, path: str) -> list[tuple[str, str]]:
+    """Templates from a folder of licence texts, one file each; its name is the label."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("name"), "value").collect()  # a file a licence
+    return sorted((re.sub(r"\.\w+$", "", r["name"].rsplit("/", 1)[-1]), template_words(r["value"])) for r in rows)
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
     return _words.scan(data, np.array([0, len(data)]), _words.table_alnum(), _words.lower_table())[2]
 
 
+def _hit(stats, link, longest, ends, fewest, shortest) -> set[int]:
+    """Templates that a run of words may match."""
+    hit: set[int] = set()
+    seen: set[int] = set()
+    for state, size in stats:
+        while state and size >= shortest and state not in seen:
+            if size == longest[state]:  # all its shorter phrases are visited with it
+                seen.add(state)
+            hit.update(t for t in ends[state] if size >= fewest[t])
+            state = link[state]
+            size = longest[state]
+    return hit
+
+
 def _scanned(batches, templates, phrases, least, cover, gap):
     import pyarrow as pa
 
@@ -185,6 +225,8 @@ def _scanned(batches, templates, phrases, least, cover, gap):
     sequences = [[number[w] for w in t] for t in texts]
     go, link, longest, ends = build_automaton(sequences)
     wanted = [([number[w] for w in p], label) for p, label in phrases.items()]
+    shortest = min([len(p) for p, _ in wanted] + [min(least, len(t)) for t in sequences if t], default=1)
+    fewest = [min(least, len(t)) for t in sequences]
     for batch in batches:
         rows = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for i, j, data, offs in _words.chunks(batch.column(1)):
@@ -199,11 +241,11 @@ def _scanned(batches, templates, phrases, least, cover, gap):
             starts, stops = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(place)]]).astype(np.int64)
             by_text: dict[int, list[tuple[int, int]]] = {}
             for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-                if b - a >= 2:
+                if b - a >= shortest:
                     by_text.setdefault(int(owner[a]), []).append((a, b))
             counts = np.diff(bounds)
             for k in range(j - i):
-                base, base_labels, found = [], set(), []
+                base, base_labels, found = [], set(), {}
                 for a, b in by_text.get(k, ()):
                     seq, offset = ids[a:b].tolist(), int(place[a] - bounds[k])
                     for phrase, label in wanted:
@@ -212,12 +254,12 @@ def _scanned(batches, templates, phrases, least, cover, gap):
                             if seq[x : x + m] == phrase:
                                 base.append(offset + x)
                                 base_labels.add(label)
-                    if b - a >= least:
-                        found.extend((offset + e, n, s) for e, n, s in matches(seq, go, link, longest, least))
+                    stats = statistics(seq, go, link, longest)
+                    for t in _hit(stats, link, longest, ends, fewest, shortest):
+                        found.setdefault(t, []).extend(matches(stats, t, link, longest, ends, fewest[t], offset))
                 spans, score = [], 0.0
-                hit = {t for _, _, s in found for t in ends[s]}
-                for t in sorted(hit):
-                    got, first, last = chain(found, t, ends, gap)
+                for t in sorted(found):
+                    got, first, last = chain(found[t], gap)
                     share = min(1.0, got / len(sequences[t]))
                     score = max(score, share)
                     if share >= cover:

@@ -43,29 +43,78 @@ def test_licence_base(frame, corpus, cluttered):
     assert license_scan.licences(frame([])).count() == 0
 
 
+def longest_phrases(words, template):
+    """By comparing all places: per word the length of the longest phrase of the template
+    ending there, and the template's places where it ends."""
+    out = []
+    for i in range(len(words)):
+        common = [0] * (len(template) + 1)
+        for j in range(len(template)):
+            while common[j + 1] <= min(i, j) and words[i - common[j + 1]] == template[j - common[j + 1]]:
+                common[j + 1] += 1
+        size = max(common)
+        out.append((size, [j for j, n in enumerate(common) if n == size and size]))
+    return out
+
+
+def brute_chain(words, template, least, gap):
+    """Best chain over every ordered choice of matches, by plain recursion on pairs."""
+    stats = [*longest_phrases(words, template), (0, [])]
+    items = [(i + 1, n, at) for i, (n, places) in enumerate(stats[:-1]) if n >= min(least, len(template)) and stats[i + 1][0] <= n for at in places]
+    best = {}
+    for end, size, at in items:
+        options = [(size, end - size)]
+        for (e, a), (score, first) in best.items():
+            if e < end and a < at and end - size - e <= gap:
+                options.append((score + min(size, at - a, end - e), first))
+        best[end, at] = max(options, key=lambda o: o[0])
+    return max((s for s, _ in best.values()), default=0)
+
+
 def test_automaton_matches_brute_force():
     rng = random.Random(2)
     sequences = [[rng.randrange(4) for _ in range(rng.randint(3, 14))] for _ in range(7)]
     go, link, longest, ends = license_scan.build_automaton(sequences)
-    parts = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
-    for _ in range(300):
+    for _ in range(200):
         text = [rng.randrange(5) for _ in range(30)]
-        state = size = 0
-        for i, c in enumerate(text):
-            while state and c not in go[state]:
-                state = link[state]
-                size = longest[state]
-            if c in go[state]:
-                state, size = go[state][c], size + 1
-            else:
-                state = size = 0
-            want = max((n for n in range(i + 2) if n == 0 or tuple(text[i + 1 - n : i + 1]) in parts))
-            assert size == want
-            if size:
-                phrase = text[i + 1 - size : i + 1]
-                for t, s in enumerate(sequences):
-                    first = next((k + size for k in range(len(s) - size + 1) if s[k : k + size] == phrase), None)
-                    assert ends[state].get(t) == first
+        stats = license_scan.statistics(text, go, link, longest)
+        each = [longest_phrases(text, s) for s in sequences]
+        for i, (state, size) in enumerate(stats):
+            assert size == max(e[i][0] for e in each)
+            for t, e in enumerate(each):
+                if e[i][0] == size and size:
+                    assert ends[state][t] == e[i][1]
+        for t, s in enumerate(sequences):
+            found = license_scan.matches(stats, t, link, longest, ends, 3)
+            e = [*each[t], (0, [])]
+            assert found == [(i + 1, n, at) for i, (n, at) in enumerate(e[:-1]) if n >= 3 and e[i + 1][0] <= n]
+            assert license_scan.chain(found, 5)[0] == brute_chain(text, s, 3, 5)
+
+
+def test_licence_labels_and_scores_by_brute_force(frame):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(6)]
+    templates = [(f"l{k}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 15)))) for k in range(8)]
+    templates += [("one", "a1 b c d e f g h1"), ("two", "x1 b c d e f g y1"), ("single", "solo")]
+    texts = [" ".join(rng.choice([*words, "zz"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["a1 b c d e f g", "some solo here", ""]
+    rows = license_scan.licences(frame(texts), templates=templates, phrases={("solo",): "alone"}).collect()
+    for r in rows:
+        w = licence_words(texts[r["doc_id"]])
+        shares = {}
+        for name, t in templates:
+            t = t.split()
+            got = min(1.0, brute_chain(w, t, license_scan.MIN_MATCH, license_scan.MAX_GAP) / len(t))
+            shares[name] = max(shares.get(name, 0), got)
+        want = {n for n, x in shares.items() if x >= license_scan.MIN_COVER} | ({"alone"} if "solo" in w else set())
+        assert r["labels"] == ",".join(sorted(want)) and abs(r["score"] - max(shares.values())) < 1e-9
+        assert {s["label"] for s in r["spans"]} == want - {"alone"}
+        assert all(0 <= s["first_word"] <= s["last_word"] < len(w) for s in r["spans"])
+    assert {"one", "two"} <= set(rows[60]["labels"].split(",")) and rows[61]["labels"] == "alone,single"
+
+
+def test_template_folder(spark, tmp_path):
+    (tmp_path / "mine-1.0.txt").write_text("You MAY use this, \n freely.")
+    assert license_scan.template_folder(spark, str(tmp_path)) == [("mine-1.0", "you may use this freely")]
 
 
 def test_licence_spans(frame):
