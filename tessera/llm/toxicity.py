@@ -1,8 +1,9 @@
 """Operator 4: toxicity severity by cumulative-link ordinal regression.
 
-Features of a text are sparse: 64-bit hashes of its lower-case words and of their
-first 4 to 8 bytes.  From a bounded sample of labelled rows the features that mark
-toxic texts best are selected, and one weight vector with ordered thresholds is fitted:
+Features of a text are sparse: 64-bit hashes of its lower-case words and of their stems
+(first 4 to 8 bytes), since inflected languages mark the stem.  From a bounded sample of
+labelled rows all features that mark toxic texts (``LEAST`` texts or more, log odds above
+``MARK``) are taken, and one weight vector with ordered thresholds is fitted:
 ``P(grade > k) = sigmoid(w.x - theta_k)``, x being which of them occur, how many, and
 the share of the text's words they mark.  The weights are shared by all thresholds.
 The expected severity is the sum of these probabilities.
@@ -10,12 +11,15 @@ The expected severity is the sum of these probabilities.
 The labels say toxic or not; grades 1 to 3 split the toxic sample into thirds by the
 share of marked words (few, some, many).  ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` bound
 the sample; it is the rows with the smallest hash of doc_id, without near copies of
-one another.  Scoring covers every word of every text and moves no text.
-
-Defined cases: null and empty texts have severity 0 and stay; repeated rows score
-alike; without toxic or without clean labelled texts no model can be fitted and all
-severities are 0; labels that name a document twice use the larger; an empty table
-gives an empty result; extra columns are ignored.
+one another.  Feature counts of the sample are summed by Spark; only the chosen features
+and their places reach the driver.  Scoring covers every word of every text and moves no text.
+
+Defined cases: texts without a word, null ones too, have severity 0 and stay; very long
+texts are read whole; repeated rows, and rows that tie in doc_id, score by their own text;
+of texts that tie in a labelled doc_id the first in order is the sample's; without toxic or
+without clean labelled texts no model can be fitted and all severities are 0; labels that
+name a document twice use the larger; an empty table gives an empty result; extra columns
+are ignored, whatever their names, and pass ``without_toxic`` unchanged.
 """
 
 from __future__ import annotations
@@ -27,11 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words
-from tessera.llm._tables import arrow_map
+from tessera.llm._tables import arrow_map, scratch, stored
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SEED = 1500, 3000, 5
-PREFIXES, FEATURES, GRADES, REJECT, MARK = (4, 5, 6, 8), 400, 3, 0.2, 3.0
-_PARTS = 1 + len(PREFIXES)
+PREFIXES, GRADES, REJECT, LEAST, MARK = (4, 5, 6, 8), 3, 0.2, 4, 3.0
 
 
 def _features(column):
@@ -45,15 +48,20 @@ def _owner(bounds, index):
     return np.searchsorted(bounds, index, side="right") - 1
 
 
-def _sampled(batches):
-    """Distinct features with their counts, and a few min-hashes, of each sampled text."""
+def _sampled(batches, of):
+    """Of each sampled text: its words and a few min-hashes, or its features with their counts."""
     import pyarrow as pa
 
     for batch in batches:
-        toxic = batch.column(0).to_pylist()
-        out = {k: [] for k in ("toxic", "words", "features", "counts", "sketch")}
+        keys = batch.column(0).to_pylist()
+        if of == "sketch":
+            words, sketches = [], []
         for i, j, hashes, bounds, more in _features(batch.column(1)):
-            pairs, pb = _words.shingles(hashes, bounds, 3)
+            if of == "sketch":
+                pairs, pb = _words.shingles(hashes, bounds, 3)
+                words += np.diff(bounds).tolist()
+                sketches += [np.unique(pairs[pb[k] : pb[k + 1]])[:6].view(np.int64).tolist() for k in range(j - i)]
+                continue
             owners = [_owner(bounds, ix) for ix, _ in more]
             for k in range(j - i):
                 own = [hashes[bounds[k] : bounds[k + 1]]]
@@ -61,12 +69,33 @@ def _sampled(batches):
                     a, b = np.searchsorted(o, (k, k + 1))
                     own.append(h[a:b])
                 f, c = np.unique(np.concatenate(own), return_counts=True)
-                out["toxic"].append(toxic[i + k])
-                out["words"].append(int(bounds[k + 1] - bounds[k]))
-                out["features"].append(f.tobytes())
-                out["counts"].append(np.minimum(c, 65535).astype(np.uint16).tobytes())
-                out["sketch"].append(np.unique(pairs[pb[k] : pb[k + 1]])[:6].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out["toxic"], pa.int32()), pa.array(out["words"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in ("features", "counts", "sketch"))], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), keys[i + k])), pa.array(f.view(np.int64)), pa.array(c.astype(np.int64))], names=["row", "feature", "times"])
+        if of == "sketch":
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], names=["row", "words", "sketch"])
+
+
+class Sparse:
+    """A 0/1 matrix from the places of its ones, with dense columns at its right."""
+
+    def __init__(self, rows, cols, shape, dense):
+        self.rows, self.cols, self.sparse, self.dense = rows, cols, shape, dense
+        self.shape = (shape[0], shape[1] + dense.shape[1])
+
+    def __matmul__(self, w):
+        m = self.sparse[1]
+        return np.bincount(self.rows, w[:m][self.cols], self.sparse[0]) + self.dense @ w[m:]
+
+    @property
+    def T(self):  # noqa: N802
+        return _Turned(self)
+
+
+class _Turned:
+    def __init__(self, x):
+        self.x = x
+
+    def __matmul__(self, v):
+        return np.concatenate([np.bincount(self.x.cols, v[self.x.rows], self.x.sparse[1]), self.x.dense.T @ v])
 
 
 def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, ridge: float = 0.02, rate: float = 0.1):
@@ -98,60 +127,52 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, steps: int = 400, rid
     return p[:m].copy(), theta
 
 
-def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, seed: int = SEED) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, seed: int = SEED, least: int = LEAST) -> dict | None:
     """Model from at most ``toxic_rows + clean_rows`` labelled texts; None if a class is missing."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.withColumn("o", F.xxhash64("doc_id", F.lit(seed)))
     some = known.where("toxic > 0").orderBy("o", "doc_id").limit(toxic_rows).union(known.where("toxic = 0").orderBy("o", "doc_id").limit(clean_rows))
-    chosen = F.broadcast(some.select("doc_id", "toxic"))  # bounded by the sample
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = arrow_map(rows.select("toxic", "text"), _sampled, "toxic int, words long, features binary, counts binary, sketch binary").toArrow()
-    return _fit(rows, features)
-
-
-def _fit(rows, features: int = FEATURES) -> dict | None:
-    """Model from the sample's features."""
-    seen, toxic, words, feats, counts = set(), [], [], [], []
-    order = sorted(range(rows.num_rows), key=lambda k: rows["features"][k].as_py())
-    for k in order:  # drop near copies: their words would pass for marks
-        sketch = np.frombuffer(rows["sketch"][k].as_py(), dtype=np.uint64).tolist()
-        if sketch and sum(v in seen for v in sketch) * 2 >= len(sketch):
-            continue
-        seen.update(sketch)
-        toxic.append(rows["toxic"][k].as_py() > 0)
-        words.append(max(1, rows["words"][k].as_py()))
-        feats.append(np.frombuffer(rows["features"][k].as_py(), dtype=np.uint64))
-        counts.append(np.frombuffer(rows["counts"][k].as_py(), dtype=np.uint16))
-    toxic = np.array(toxic, dtype=bool)
-    if not toxic.any() or toxic.all():
-        return None
-    ids, place = np.unique(np.concatenate(feats), return_inverse=True)
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    hit = toxic[owner]
-    d1, d0 = np.bincount(place[hit], minlength=len(ids)), np.bincount(place[~hit], minlength=len(ids))
-    log_odds = np.log(d1 / n1 + 1e-9) - np.log((d0 + 1) / n0)
-    least = min(8, max(4, n1 // 20))
-    mark = np.flatnonzero((d1 >= least) & (log_odds > MARK))
-    gain = d1[mark] / n1 - d0[mark] / n0
-    mark = mark[np.argsort(-gain, kind="stable")[:features]]
-    if not len(mark):
+    chosen = F.broadcast(some.select(F.col("doc_id").alias("row"), "toxic"))  # bounded by the sample
+    with scratch():
+        sample = docs.select(F.col("doc_id").cast("long").alias("row"), "text").join(chosen, "row").groupBy("row", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+        sample = stored(sample, "toxic_sample")
+        texts = sample.select("row", "text")
+        of = {r["row"]: r["toxic"] > 0 for r in sample.select("row", "toxic").collect()}  # bounded by the sample, as are the sketches
+        sketches = arrow_map(texts, partial(_sampled, of="sketch"), "row long, words long, sketch array<long>").collect()
+        rows, words, seen = [], [], set()
+        for r in sorted(sketches, key=lambda r: r["row"]):  # drop near copies: their words would pass for marks
+            if r["sketch"] and sum(v in seen for v in r["sketch"]) * 2 >= len(r["sketch"]):
+                continue
+            seen.update(r["sketch"])
+            rows.append(r["row"])
+            words.append(max(1, r["words"]))
+        toxic = np.array([of[r] for r in rows], dtype=bool)
+        if not toxic.any() or toxic.all():
+            return None
+        n1, n0 = int(toxic.sum()), int((~toxic).sum())
+        kept = docs.sparkSession.createDataFrame(list(zip(rows, range(len(rows)), toxic.astype(int).tolist(), strict=True)), "row long, at int, toxic int")
+        places = stored(arrow_map(texts, partial(_sampled, of="features"), "row long, feature long, times long").join(F.broadcast(kept), "row"), "toxic_features")
+        counts = places.groupBy("feature").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d"))
+        odds = F.log(F.col("d1") / n1 + 1e-9) - F.log((F.col("d") - F.col("d1") + 1) / n0)
+        marks = counts.where((F.col("d1") >= least) & (odds > MARK)).select("feature")
+        found = places.join(marks, "feature").select("feature", "at", "times").toArrow()
+    return _fit(found["feature"].to_numpy().view(np.uint64), found["at"].to_numpy(), found["times"].to_numpy(), toxic, np.array(words))
+
+
+def _fit(features, at, times, toxic, words) -> dict | None:
+    """Model from the chosen features' places in the sample."""
+    if not len(features):
         return None
-    chosen_ids = np.sort(ids[mark])
-    x, share = np.zeros((len(feats), len(chosen_ids) + 2), dtype=np.float64), np.zeros(len(feats))
-    for k, (f, c) in enumerate(zip(feats, counts, strict=True)):
-        at = np.searchsorted(chosen_ids, f)
-        ok = at < len(chosen_ids)
-        ok[ok] = chosen_ids[at[ok]] == f[ok]
-        x[k, at[ok]] = 1
-        share[k] = c[ok].sum() / words[k]
-    x[:, -2] = np.log1p(x[:, :-2].sum(axis=1))
-    x[:, -1] = np.log1p(100 * share)
-    y = np.zeros(len(feats), dtype=np.int64)
-    cuts = np.quantile(share[toxic], [1 / 3, 2 / 3])
-    y[toxic] = 1 + np.searchsorted(cuts, share[toxic], side="right")
+    ids, place = np.unique(features, return_inverse=True)
+    n = len(toxic)
+    share = np.bincount(at, times, n) / words
+    order = np.lexsort((place, at))
+    dense = np.stack([np.log1p(np.bincount(at, minlength=n)), np.log1p(100 * share)], axis=1)
+    x = Sparse(at[order], place[order], (n, len(ids)), dense)
+    y = np.zeros(n, dtype=np.int64)
+    y[toxic] = 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share[toxic], side="right")
     w, theta = fit_ordinal(x, y, GRADES)
-    return {"ids": chosen_ids, "weights": w, "theta": theta, "sample": (n1, n0)}
+    return {"ids": ids, "weights": w, "theta": theta, "sample": (int(toxic.sum()), int((~toxic).sum()))}
 
 
 def _score(batches, model):
@@ -163,9 +184,10 @@ def _score(batches, model):
         bits[(ids >> np.uint64(44)).astype(np.int64)] = True
     for batch in batches:
         n = batch.num_rows
-        z, marked, distinct, words = np.zeros(n), np.zeros(n), np.zeros(n), np.ones(n)
+        z, marked, distinct, words, empty = np.zeros(n), np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n, dtype=bool)
         if model is not None:
             for i, j, hashes, bounds, more in _features(batch.column(1)):
+                empty[i:j] = np.diff(bounds) == 0
                 words[i:j] = np.maximum(1, np.diff(bounds))
                 rows, cols = [], []
                 for index, h in [(None, hashes), *more]:
@@ -182,7 +204,7 @@ def _score(batches, model):
                 z[i:j] = np.bincount(pair // len(ids), weights=w[pair % len(ids)], minlength=j - i)
             z += w[-2] * np.log1p(distinct) + w[-1] * np.log1p(100 * marked / words)
             above = 1 / (1 + np.exp(-np.clip(z[:, None] - theta[None], -40, 40)))
-            above[marked == 0] = 0  # nothing known was found
+            above[empty] = 0
         else:
             above = np.zeros((n, GRADES))
         yield pa.RecordBatch.from_arrays(

@@ -367,6 +367,47 @@ def test_ordinal_fit_keeps_order():
     assert np.all(np.diff(theta) > 0) and np.allclose(w, [2, -1, 0], atol=0.3) and np.allclose(theta, [-1, 0.5, 2], atol=0.35)
 
 
+def plain_hash(word, first=None):
+    """The word hash in plain integers: a polynomial over its bytes, and splitmix64."""
+    mask = (1 << 64) - 1
+    data = word.encode()[:first]
+    x = sum((b + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(data)) & mask
+    x = (x + len(data)) & mask if first is None else x ^ (first * 0x51ED27)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * by) & mask
+    return x ^ (x >> 31)
+
+
+def test_severity_by_brute_force(spark, frame):
+    """Scores against a plain loop over the words and stems of every text."""
+    texts, y = toxic_corpus(300, 8)
+    texts += [" ".join(texts[:200]) * 3, "", None, " \n", "GRUBNAK", "é😀 grubnaks vorgles!"] + [texts[0]] * 3
+    docs = frame(texts)
+    table = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = toxicity.train(docs, table)
+    weight = dict(zip(model["ids"].tolist(), model["weights"].tolist()))
+    *_, how_many, share = model["weights"].tolist()
+    for r in toxicity.severity(docs, table).collect():
+        lower = (texts[r["doc_id"]] or "").translate(str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)}))
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        found = [plain_hash(w) for w in words] + [plain_hash(w, p) for w in words for p in toxicity.PREFIXES if len(w.encode()) > p]
+        marks = [h for h in found if h in weight]
+        z = sum(weight[h] for h in set(marks)) + how_many * math.log1p(len(set(marks))) + share * math.log1p(100 * len(marks) / max(1, len(words)))
+        want = sum(1 / (1 + math.exp(t - z)) for t in model["theta"]) if words else 0.0
+        assert math.isclose(r["severity"], want, rel_tol=1e-9, abs_tol=1e-9), r
+        assert r["rejected"] == (bool(words) and 1 / (1 + math.exp(model["theta"][0] - z)) >= toxicity.REJECT)
+
+
+def test_sparse_matrix_is_the_dense_one():
+    rng = np.random.default_rng(3)
+    dense = (rng.random((20, 7)) < 0.3).astype(float)
+    more = rng.random((20, 2))
+    x = toxicity.Sparse(*np.nonzero(dense), dense.shape, more)
+    whole = np.concatenate([dense, more], axis=1)
+    v, w = rng.random(20), rng.random(9)
+    assert np.allclose(x @ w, whole @ w) and np.allclose(x.T @ v, whole.T @ v) and x.shape == whole.shape
+
+
 def test_toxicity_edges(spark, frame):
     labels = spark.createDataFrame([(0, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     got = toxicity.severity(frame(["a b", None, ""], ids=[0, None, 2]), labels).collect()  # one class only: no model
