@@ -6,12 +6,15 @@ ratio; a document's score is the mean log ratio of its n-grams (length-normalise
 and it is kept when the score reaches ``threshold``.  Counts are exact over all rows.
 
 Only DataFrame functions are used.  The n-gram counts are pre-aggregated map-side to
-at most ``buckets`` rows a task; the table of log ratios has ``buckets`` doubles.
+at most ``buckets`` rows a task; the table of log ratios has ``buckets`` doubles, a bound
+that does not grow with the data, and is a literal of the plan.
 
 Defined cases: null text has no words, all counts 0 and fails the base rules; texts
-under five words have no repeated windows; repeated rows count as often as they stand;
+under five words have no repeated windows; very long texts are read whole; repeated rows
+count as often as they stand, and rows that tie in doc_id are each rated by their own text;
 labels that name a document twice count it once; without trusted documents the ratio
-is 0 for all; an empty table gives an empty result; extra columns are ignored.
+is 0 for all; an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._tables import let, word_array
+from tessera.llm._tables import let, stored, word_array
 
 BUCKETS, THRESHOLD, SMOOTHING, WINDOW = 16384, -0.15, 1.0, 5
 MIN_WORDS, REPEAT_SHARE = 10, 20
@@ -72,29 +75,34 @@ def gram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     return let(hashes, lambda h: F.concat(one(h), two(h)))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
-    """Log of target over raw probability by bucket; exact counts over all rows of ``docs``."""
-    import math
-
-    good = trusted.select("doc_id").where("doc_id is not null").distinct()
+def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+    """One row with ``ratios``: by bucket, the log of target over raw probability, from exact
+    counts over all rows of ``docs``; all 0 without trusted documents."""
+    good = trusted.select(F.col("doc_id").alias("__good")).where("__good is not null").distinct().withColumn("__salt", F.lit(0).cast("long"))
     if trusted.count() <= BROADCAST_LABELS:
         good = F.broadcast(good)
-    flagged = docs.select("doc_id", "text").join(good.withColumn("__t", F.lit(1)), "doc_id", "left")
-    grams = flagged.select(F.coalesce("__t", F.lit(0)).cast("long").alias("t"), F.explode(gram_buckets(_hashes(word_array(F.col("text"))), buckets)).alias("b"))
-    target, raw = [smoothing] * buckets, [smoothing] * buckets
-    for b, n, t in grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")).toLocalIterator():
-        raw[b] += n
-        target[b] += t
-    if sum(target) == smoothing * buckets:
-        return [0.0] * buckets
-    ts, rs = sum(target), sum(raw)
-    return [math.log((t / ts) / (r / rs)) for t, r in zip(target, raw, strict=True)]
+    # Rows without an id match nothing; by their texts they spread over all tasks.
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    flagged = docs.select("doc_id", "text", salt.alias("__of")).join(good, (F.col("doc_id") == F.col("__good")) & (F.col("__of") == F.col("__salt")), "left")
+    grams = flagged.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(gram_buckets(_hashes(word_array(F.col("text"))), buckets)).alias("b"))
+    counts = stored(grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")), "gram_counts")  # at most `buckets` rows
+    raw, target = counts.agg(F.sum("n"), F.sum("t")).first()
+    smooth, raw, target = float(smoothing), raw or 0, target or 0
+    share = F.log((F.coalesce("t", F.lit(0)) + smooth) / (F.coalesce("n", F.lit(0)) + smooth)) + F.log(F.lit((raw + smooth * buckets) / (target + smooth * buckets)))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left")
+    value = share if target else F.lit(0.0)
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", value.alias("v")))), lambda x: x["v"]).alias("ratios"))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+    """The log ratios of :func:`ratio_table`."""
+    return list(ratio_table(docs, trusted, buckets, smoothing).first()["ratios"])
 
 
 def quality(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
     """Counts, base verdict, score and final verdict of every row of ``docs``."""
-    ratios = ",".join(f"{x:.6g}" for x in log_ratios(docs, trusted, buckets, smoothing))
-    table = F.expr(f"cast(split('{ratios}', ',') as array<double>)")
+    ratios = ",".join(map(repr, log_ratios(docs, trusted, buckets, smoothing)))
+    table = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).select("doc_id", "text", word_array(F.col("text")).alias("words"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, w: x + F.length(w).cast("long"))

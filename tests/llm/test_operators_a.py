@@ -447,6 +447,45 @@ def test_quality_counts(spark, frame, corpus, cluttered):
     assert quality_rules.quality(frame([]), trusted).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings and longs."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def test_quality_scores_by_brute_force(spark, frame, corpus):
+    """Scores and verdicts from plain counts of hashed one- and two-grams."""
+    texts = [*corpus, "alone", corpus[0], None, " ".join(f"w{k % 50}" for k in range(30000))]
+    ids = [None if k % 11 == 5 else k // 2 for k in range(len(texts))]  # ids that tie, and none
+    trusted = [0, 3, 3, 9, 14, None]
+    buckets = 256
+
+    def grams(text):
+        h = [spark_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [x % buckets for x in h] + [spark_hash(x, y) % buckets for x, y in zip(h, h[1:])]
+
+    raw, target = Counter(), Counter()
+    for k, t in zip(ids, texts):
+        raw.update(grams(t))
+        if k is not None and k in trusted:
+            target.update(grams(t))
+    all_raw, all_target = raw.total() + buckets, target.total() + buckets
+    want = Counter()
+    for k, t in zip(ids, texts):
+        g = grams(t)
+        score = sum(math.log((target[b] + 1) / all_target * all_raw / (raw[b] + 1)) for b in g) / len(g) if g else None
+        failed = brute_quality(t)[-1]
+        want[k, None if score is None else round(score, 9), failed, not failed and (score or 0.0) >= quality_rules.THRESHOLD] += 1
+    rows = quality_rules.quality(frame(texts, ids=ids), spark.createDataFrame([(x,) for x in trusted], "doc_id long"), buckets).collect()
+    assert Counter((r["doc_id"], None if r["score"] is None else round(r["score"], 9), r["base_failed"], r["kept"]) for r in rows) == want
+
+
 def test_quality_ratio(spark, frame):
     good = ["good plain words stand here in this text today"] * 30
     junk = ["zz## qq!! xx%% vv&& ww$$ yy## kk!! jj%% hh&& gg$$ ff##"] * 10
