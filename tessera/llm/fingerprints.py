@@ -3,7 +3,7 @@
 The hashes of a text's five-word shingles are binned once by their top bits; a bin
 keeps its smallest hash.  An empty bin borrows from a full one by optimal
 densification: every bin has its own fixed random order of all bins and takes the
-first full one, so two texts that share a bin borrow alike.  Of each bin ``BITS`` low
+first full one, however late, so two texts that share a bin borrow alike.  Of each bin ``BITS`` low
 bits are stored, packed in 64-bit words; the likeness of two fingerprints is the share
 of equal bins, corrected for chance agreement: ``(same - c) / (1 - c)``, ``c = 2^-BITS``.
 
@@ -13,9 +13,10 @@ doc_id so that a window never spans more than one range.
 
 Defined cases: null text is the empty text, whose fingerprint is the empty string
 (likeness 1 to another empty one, else 0); texts of one to four words are one shingle;
-equal texts have equal fingerprints; of equal doc_ids the smaller text comes first and
-a null doc_id comes last; a table of one row is its own next document; an empty table
-gives an empty result; extra columns are ignored.
+equal texts have equal fingerprints; very long texts are read whole; of equal doc_ids the
+smaller text comes first and a null doc_id comes last (rows that tie in doc_id are ordered
+by one task); a table of one row is its own next document; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +33,18 @@ _LOW = (1 << _SHIFT) - 1
 _PER_LONG = 64 // BITS
 
 
-def _probe(attempt: int) -> list[int]:
-    """For every bin, the bin that attempt number ``attempt`` looks at (fixed hash)."""
-    out = []
-    for b in range(BINS):
-        x = (b * 0x9E3779B97F4A7C15 + (attempt + 1) * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1)
+def _orders() -> tuple[list[int], list[int]]:
+    """Of every bin the odd step and the start of its order of all bins (fixed hashes):
+    attempt t looks at bin ``start + t * step``, so ``BINS`` attempts see each bin once."""
+
+    def mixed(x: int) -> int:
+        x &= (1 << 64) - 1
         x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)
-        out.append((x ^ (x >> 29)) >> 40 & (BINS - 1))
-    return out
+        return (x ^ (x >> 29)) >> 40
+
+    steps = [mixed(b * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F) % BINS | 1 for b in range(BINS)]
+    starts = [mixed(b * 0x9E3779B97F4A7C15 + 0x165667B19E3779F9) % BINS for b in range(BINS)]
+    return steps, starts
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -70,13 +75,17 @@ def bin_minima(hashes: Column) -> Column:
 
 
 def densified(minima: Column) -> Column:
-    """Fill empty bins: the first full bin in the bin's own order of attempts; past
-    ``PROBES`` attempts the order is that of a hash over all full bins."""
-    tables = [_literal(_probe(t), "int") for t in range(PROBES)]
+    """Fill empty bins: the first full bin in the bin's own order of all bins.  The first
+    ``PROBES`` attempts look bins up; for the few bins that found none, the attempt that
+    would reach each full bin is worked out and the earliest taken, which is the same rule."""
+    steps, starts = _orders()
+    tables = [_literal([(s + t * a) % BINS for a, s in zip(steps, starts, strict=True)], "int") for t in range(PROBES)]
+    back, first = _literal([pow(a, -1, BINS) for a in steps], "int"), _literal(starts, "int")
 
     def fill(v: Column) -> Column:
         def late(b: Column) -> Column:
-            full = F.transform(v, lambda x, k: F.when(x.isNotNull(), F.struct(F.xxhash64(b, k).alias("o"), x.alias("x"))))
+            attempt = lambda k: F.pmod(F.get(back, b) * (k - F.get(first, b)), F.lit(BINS))
+            full = F.transform(v, lambda x, k: F.when(x.isNotNull(), F.struct(attempt(k).alias("o"), x.alias("x"))))
             return F.array_min(F.filter(full, lambda s: s.isNotNull()))["x"]
 
         return F.transform(v, lambda x, b: F.coalesce(x, *[F.get(v, F.get(t, b)) for t in tables], late(b)))
@@ -153,8 +162,9 @@ def neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     order = Window.orderBy("r")  # a row per range
     heads = heads.withColumn("to", F.coalesce(F.lag("r").over(order), F.max("r").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     heads = heads.select(F.col("r").alias("hr"), "h", "to")
-    ghosts = rows.join(F.broadcast(heads), (rows["r"] == heads["hr"]) & rows["doc_id"].eqNullSafe(heads["h"]))  # at most one row a range
-    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts.select("doc_id", "text", F.col("to").alias("r"), F.lit(1).alias("ghost")))
+    # Of rows that tie in doc_id at a head, the one with the smallest text is first.
+    ghosts = rows.join(F.broadcast(heads), (rows["r"] == heads["hr"]) & rows["doc_id"].eqNullSafe(heads["h"])).groupBy(F.col("h").alias("doc_id"), F.col("to").alias("r")).agg(F.min("text").alias("text"))
+    both = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts.withColumn("ghost", F.lit(1)))
     both = both.withColumn("fp", fingerprint(F.col("text")))
     w = Window.partitionBy("r").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     return both.withColumn("next_text", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).where("ghost = 0").drop("ghost", "r")
