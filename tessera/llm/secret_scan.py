@@ -12,16 +12,18 @@ digests, ids, card numbers and placeholders), or a table given by the caller.
 
 Every whole text is scanned, row by row; nothing is shuffled.
 
-Defined cases: null and empty texts have no candidate; repeated rows score alike;
-overlapping candidates count once, the longest first; a null path is the empty path;
-an empty table gives an empty result; extra columns pass ``redacted`` unchanged.
+Defined cases: null and empty texts have no candidate; very long texts are read whole;
+repeated rows, and rows that tie in doc_id, are rated each by its own text; of overlapping
+candidates the one that begins first counts, of those the longest; a null path is the empty
+path; an empty table gives an empty result; extra columns pass ``redacted`` unchanged, but
+``path``, ``url`` and ``source`` are read as the path.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -189,7 +191,7 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
     for k in range(rows):
         good = k % 2 == 0
         if good:
-            kind = int(rng.integers(13))
+            kind = int(rng.integers(14))
             name = pick(["token", "api_key", "apikey", "secret", "auth_token", "access_key", "client_secret", "SECRET_KEY", "password", "passwd", "TOKEN", "auth", "private_key", "key", "pwd", "passphrase", "credentials"])
             if rng.random() < 0.3:
                 name = pick(["DB_", "db_", "my-", "app.", "STAGE_", ""]) + name + pick(["", "_PROD", "_2", "-main", "_old"])
@@ -207,15 +209,16 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
                 lambda: run(low + num, int(rng.integers(2, 6))) + run(num, 1) + run("!#%&*", 1) + run(low + num, int(rng.integers(2, 7))),
                 lambda: noun().capitalize()[:8] + run("!#%&*-_.", 1) + run(num, 2) + run(low + up, int(rng.integers(0, 4))),
                 lambda: pick(["S3cr3t", "hunter", "Pa55", "qwe", noun()]) + run("!#%&*", 1) + run(b64, int(rng.integers(3, 7))) + run(num, 1),
+                lambda: "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {0}PRIVATE KEY-----".format(pick(["RSA ", "EC ", "", "OPENSSH "]), "\n".join(run(b64 + "+/", pick([6, 40, 64])) for _ in range(int(rng.integers(1, 9))))),
             ][kind]()
-            free = kind in (3, 4, 5) and rng.random() < 0.4
+            free = kind == 13 or (kind in (3, 4, 5) and rng.random() < 0.4)
             form = pick(['{n} = "{v}"', "{n}: {v}", "{n}={v}", "{n} = '{v}'", '"{n}": "{v}"', "Bearer {v}"]) if not free else pick(["{v}", "use {v}", '"{v}"'])
-            if kind > 6 and kind != 8 and rng.random() < 0.15:
+            if kind > 6 and kind not in (8, 13) and rng.random() < 0.15:
                 form = pick(["postgres", "https", "mysql", "ftp"]) + "://" + pick(["admin", "root", noun()]) + ":{v}@" + noun() + pick([".example/x", ".host:5432/db", ""])
             if kind in (0, 8) and rng.random() < 0.3:
                 form = '{n} = "{v}"' + pick(["###", "!!", "%%%", ".", ","])
         else:
-            kind = int(rng.integers(21))
+            kind = int(rng.integers(23))
             said = pick(["password", "token", "api_key", "secret", "auth", "key", "private_key", "DB_PASSWORD", "SECRET_KEY", "credentials", "access_key"])
             value, form, name = [
                 lambda: (run(hexa, 40), pick(["commit {v}", "rev {v}", "fixed in commit {v}", "sha {v}"]), ""),
@@ -238,6 +241,8 @@ def labelled_findings(rows: int = FINDINGS, seed: int = SEED) -> list[tuple[str,
                 lambda: (pick([noun(), pick(DICTIONARY) + noun(), noun().capitalize(), noun() + "_" + noun()]) + "e" * 3, pick(["{n}: {v}", "{n} = {v}", '{n}: "{v}"']), pick([said, "key", "author", "monkey", "keyboard", "keyword", "tokens", "token", "authority"])),
                 lambda: (run(num, int(rng.integers(4, 7))), pick(["{n}: {v}", "{n}={v}"]), pick(["tokens", "n_tokens", "max_tokens", "key_size", "key_length", "author_id", "token_count"])),
                 lambda: (pick(DICTIONARY) + noun(), pick(["bearer {v}", "the bearer {v}", "Bearer {v}"]), ""),
+                lambda: (pick(["sha256-", "sha384-", "sha512-"]) + run(b64 + "+/", pick([43, 64, 86])) + pick(["", "=", "=="]), pick(['integrity="{v}"', "integrity: {v}", 'integrity "{v}"', '"integrity": "{v}"']), ""),
+                lambda: (pick(["sha256-", "sha512-", "sha1-", "md5-"]) + run(b64 + "+/", pick([27, 43, 86])), pick(["{v}", "resolved {v}", "hash {v}"]), ""),
                 lambda: (noun() + noun(), pick(["mailto:{v}@" + noun() + ".example", "from:{v}@" + noun() + ".example", "to:{v}@mail7.example.com"]), ""),
             ][kind]()
         head = prose(int(rng.integers(3, 12))) + " "
@@ -257,6 +262,11 @@ def train(findings=None):
     return fit_forest(x, np.array([r[4] for r in rows], dtype=np.float64))
 
 
+@cache
+def _default_forest():
+    return train()
+
+
 def rated(text: str, path: str, forest, table):
     """``(start, end, probability)`` of every candidate of a text."""
     spans = candidates(text)
@@ -290,7 +300,7 @@ def _path_column(docs: DataFrame):
 
 def secrets(docs: DataFrame, findings=None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_candidates, n_secrets, top_score, spans`` (code-point spans)."""
-    todo = partial(_scan, forest=train(findings), threshold=threshold)
+    todo = partial(_scan, forest=_default_forest() if findings is None else train(findings), threshold=threshold)
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _path_column(docs).alias("path")), todo, "doc_id long, n_candidates long, n_secrets long, top_score double, spans array<struct<start:long,end:long,score:double>>")
 
 
@@ -319,5 +329,5 @@ def _redact(batches, forest, threshold, text_at, chars_at):
 def redacted(docs: DataFrame, findings=None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET]`` and ``n_chars``, where there is
     one, recounted in those rows."""
-    todo = partial(_redact, forest=train(findings), threshold=threshold, text_at=docs.columns.index("text"), chars_at=docs.columns.index("n_chars") if "n_chars" in docs.columns else None)
+    todo = partial(_redact, forest=_default_forest() if findings is None else train(findings), threshold=threshold, text_at=docs.columns.index("text"), chars_at=docs.columns.index("n_chars") if "n_chars" in docs.columns else None)
     return arrow_map(docs.withColumn("__tessera_path", _path_column(docs)), todo, docs.schema)
