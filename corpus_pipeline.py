@@ -4,6 +4,13 @@ Every stage takes ``(spark, docs, sf_dir)``; its rows are written as Parquet and
 again as the next stage's documents.  The order: reject toxic documents, keep one
 document of each near-duplicate class, redact secrets, mix the sources to target
 weights, pack into token sequences.
+
+Defined cases, for every stage: null and empty texts are documents without words, which
+stay in the first three stages (as one class of copies in the second); very long texts are
+read whole; rows that tie in doc_id, or have none, are documents of their own; rows
+repeated in full pass the first and third stage each, leave one in the second and count as
+copies in the mix; null sources are one source; an empty table passes all stages; extra
+columns pass all stages but the last unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, ngram_join, packing, secret_scan, toxicity
-from tessera.llm._tables import spread, stored
+from tessera.llm._tables import dropped, scratch, spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        last = docs
+        with scratch() as keep:  # what the stage stored for itself goes with it
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            dropped(last)
     return STAGES[-1][1](spark, docs, sf_dir)
