@@ -1,12 +1,15 @@
 """Operator 2: n-gram Jaccard self-join with a MinHash LSH forest.
 
 Documents are sets of five-word shingles.  Texts with equal sets collapse to one
-*node*.  Every node has ``trees`` MinHash labels of up to ``max_depth`` values; the
-sorted labels of one tree form a prefix trie.  The matched prefix starts at full
-length and is shortened until a pair at the threshold meets in some trie with the
-target probability (``1 - (1 - t^d)^trees >= recall``); the nodes below one trie
-node at that depth are a bucket.  Inside buckets, sketches discard unlike pairs and
-leave a spanning forest of candidates, whose components meet once more for exact
+*node*.  Every node has a MinHash label in each of ``trees`` prefix tries.  The matched
+prefix starts at ``MAX_DEPTH`` values and is shortened until a pair at the threshold meets
+in some trie with the target probability (``1 - (1 - t^d)^trees >= recall``); the nodes
+below one trie node at that depth are a bucket.  The threshold is one for all pairs, so
+this depth is the same for every node and known before any row is read: only that many
+values are made, and buckets are formed by a hash of the prefix instead of a sorted trie.
+With the default target this is banding of 20 labels of 5 values.  Inside buckets, sketches
+discard unlike pairs (a pair at the threshold is lost with probability below 1e-5 a bucket)
+and leave a spanning forest of candidates, whose components meet once more for exact
 verification on whole shingle sets.
 
 Hot groups: a bucket or component of more than ``block`` nodes is dealt as pairs of
@@ -15,9 +18,10 @@ task and no output grows with the square of a group.  Nothing is capped.
 
 Defined cases: null text is the empty text; texts of one to four words are one
 shingle of all their words; texts without words equal each other (similarity 1) and
-nothing else; repeated rows are copies; a null ``doc_id`` is kept and never chosen as
-class id unless the class has no other; extra columns are ignored; an empty table
-gives an empty result.
+nothing else; very long texts are read whole; repeated rows are copies; rows that tie in
+doc_id are told apart by their texts; a null ``doc_id`` is kept and never chosen as class
+id unless the class has no other; an empty table gives an empty result; extra columns are
+ignored, whatever their names, and pass ``one_of_each_class`` unchanged.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _words
 from tessera.llm._components import components
-from tessera.llm._tables import arrow_map, stored
+from tessera.llm._tables import arrow_map, scratch, stored
 
 WIDTH, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 20, 8, 0.999
 #: Nodes of a block in candidate search and in verification; pairs below the cut are no candidates.
@@ -40,11 +44,12 @@ BROADCAST_KEYS = 2_000_000
 
 
 def prefix_depth(threshold: float, trees: int = TREES, longest: int = MAX_DEPTH, recall: float = RECALL) -> int:
-    """Shorten the matched prefix until a pair at the threshold meets with the target recall."""
+    """Shorten the matched prefix until a pair at the threshold meets with the target recall;
+    an error if no prefix reaches it."""
     for depth in range(longest, 0, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
-    return 1
+    raise ValueError(f"{trees} trees cannot reach a recall of {recall} at a similarity of {threshold}: give more trees.")
 
 
 def sketch_cut(threshold: float, values: int) -> float:
@@ -269,38 +274,39 @@ def jaccard_classes(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     depth = prefix_depth(threshold, trees, recall=recall)
     cut = sketch_cut(threshold, trees * depth)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = stored(
-        arrow_map(base, partial(_sign, width=width, trees=trees, depth=depth), "doc_id long, text_key long, node string, n_shingles long, buckets array<long>, sketch binary"),
-        "signatures",
-    )
-    nodes = stored(
-        signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min("text_key").alias("a_text"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
-    placed = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    met = placed.join(shared, "bucket").withColumn("nb", F.ceil(F.col("members") / block).cast("int")).withColumn("blk", _dealt("node", F.col("nb"))).drop("members")
-    found = arrow_map(_block_pairs(met.join(nodes.select("node", "sketch"), "node").select("bucket", "nb", "blk", "node", "sketch"), "bucket"), partial(_candidates, cut=cut), "u string, v string")
-    likely = components(found, "candidates")
-    member = likely.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(likely.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-    member = member.join(nodes.select("node", "copies", "n_shingles", "a_text"), "node")
-    sized = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / set_block), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).cast("int").alias("nb"))
-    member = stored(member.join(sized, "comp").withColumn("blk", _dealt("node", F.col("nb"))), "members")
-    keys = member.select(F.col("a_text").alias("text_key")).distinct()
-    if member.count() <= BROADCAST_KEYS:  # 8 bytes each; beyond that, a shuffled join
-        keys = F.broadcast(keys)
-    wanted = base.select("text_key", "text").join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
-    sets = arrow_map(wanted.select("text"), partial(_sets, width=width), "node string, shingles array<long>")
-    checked = stored(
-        arrow_map(_block_pairs(member.select("comp", "nb", "blk", "node", "copies").join(sets, "node").select("comp", "nb", "blk", "node", "copies", "shingles"), "comp"), partial(_verify, threshold=threshold), "node string, links long, root string"),
-        "links",
-    )
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes").select(F.col("u").alias("node"), F.col("v").alias("top"))
-    known = nodes.select("node", "copies", "low_id").join(joined, "node", "left").join(links, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    classes = known.groupBy("top").agg(F.min("low_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = known.join(classes, "top").select("node", F.col("top").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size")
-    return signed.select("doc_id", "text_key", "node").join(info, "node").select("doc_id", "text_key", "class_id", "n_links", "class_size", "class_key")
+    with scratch() as keep:
+        signed = stored(
+            arrow_map(base, partial(_sign, width=width, trees=trees, depth=depth), "doc_id long, text_key long, node string, n_shingles long, buckets array<long>, sketch binary"),
+            "signatures",
+        )
+        nodes = stored(
+            signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low_id"), F.min("text_key").alias("a_text"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")),
+            "nodes",
+        )
+        placed = nodes.select("node", F.explode("buckets").alias("bucket"))
+        shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+        met = placed.join(shared, "bucket").withColumn("nb", F.ceil(F.col("members") / block).cast("int")).withColumn("blk", _dealt("node", F.col("nb"))).drop("members")
+        found = arrow_map(_block_pairs(met.join(nodes.select("node", "sketch"), "node").select("bucket", "nb", "blk", "node", "sketch"), "bucket"), partial(_candidates, cut=cut), "u string, v string")
+        likely = components(found, "candidates")
+        member = likely.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(likely.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        member = member.join(nodes.select("node", "copies", "n_shingles", "a_text"), "node")
+        sized = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / set_block), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).cast("int").alias("nb"))
+        member = stored(member.join(sized, "comp").withColumn("blk", _dealt("node", F.col("nb"))), "members")
+        keys = member.select(F.col("a_text").alias("text_key")).distinct()
+        if member.count() <= BROADCAST_KEYS:  # 8 bytes each; beyond that, a shuffled join
+            keys = F.broadcast(keys)
+        wanted = base.select("text_key", "text").join(keys, "text_key", "left_semi").withColumn("twin", F.xxhash64(F.lit("twin"), "text")).dropDuplicates(["text_key", "twin"])
+        sets = arrow_map(wanted.select("text"), partial(_sets, width=width), "node string, shingles array<long>")
+        checked = stored(
+            arrow_map(_block_pairs(member.select("comp", "nb", "blk", "node", "copies").join(sets, "node").select("comp", "nb", "blk", "node", "copies", "shingles"), "comp"), partial(_verify, threshold=threshold), "node string, links long, root string"),
+            "links",
+        )
+        links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+        joined = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes").select(F.col("u").alias("node"), F.col("v").alias("top"))
+        known = nodes.select("node", "copies", "low_id").join(joined, "node", "left").join(links, "node", "left").withColumn("top", F.coalesce("top", "node"))
+        classes = known.groupBy("top").agg(F.min("low_id").alias("class_id"), F.sum("copies").alias("class_size"))
+        info = known.join(classes, "top").select("node", F.col("top").alias("class_key"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size")
+        return keep(signed.select("doc_id", "text_key", "node").join(info, "node").select("doc_id", "text_key", "class_id", "n_links", "class_size", "class_key"), "near_classes")
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:

@@ -15,9 +15,10 @@ Pieces then take their places by rank among those of equal length.  Ranks come f
 counts per task and length, summed over tasks, so a length that holds a third of all
 pieces is never gathered anywhere.
 
-Defined cases: null text is empty: one piece, the closing id; repeated rows are packed
-each; a null doc_id stays null; an empty table gives an empty result; extra columns are
-ignored.
+Defined cases: null text is empty: one piece, the closing id; very long texts are cut into
+pieces, none is left out; repeated rows, and rows that tie in doc_id, are packed each; a null
+doc_id stays null; an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ quantiles.
 The histogram is cut into blocks of ``BLOCK`` lengths, so no task needs all lengths:
 sums run inside a block, and the far smaller table of blocks brings the rest.
 
-Defined cases: null text is the empty text, of length 0; repeated rows count each; an
-empty table gives an empty result; extra columns are ignored.
+Defined cases: null text is the empty text, of length 0; very long texts are encoded whole;
+repeated rows, and rows that tie in any column, count each; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

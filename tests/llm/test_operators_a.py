@@ -236,6 +236,20 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_recall_that_cannot_be_met_is_an_error():
+    with pytest.raises(ValueError, match="more trees"):
+        ngram_join.prefix_depth(0.2)
+    assert ngram_join.prefix_depth(0.2, trees=60) == 1
+
+
+def test_links_of_a_table_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("doc_id", "text")
+    rows = docs.collect()
+    want = brute_classes([r["text"] for r in rows])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got == {rows[k]["doc_id"]: (rows[top]["doc_id"], n) for k, (top, n) in want.items()}
+
+
 def test_one_of_each_class(spark, frame, corpus, cluttered):
     docs = cluttered(frame(corpus))
     kept = ngram_join.one_of_each_class(docs.unionByName(docs.limit(7)))  # rows repeated in full
