@@ -99,6 +99,11 @@ def hash_number(*parts: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def double_array(values: list[float]) -> Column:
+    """A literal array; a call for each of many literals would take seconds."""
+    return F.expr(f"cast(split('{','.join(repr(float(v)) for v in values)}', ',') as array<double>)")
+
+
 def normal_quantile(p: Column) -> Column:
     """Inverse normal distribution function (Acklam's rational approximation)."""
     a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)

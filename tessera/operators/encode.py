@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import hash_number, missing, normal_quantile, text_or
-from tessera.operators.ranks import running_sums
+from tessera.functions.scalar import double_array, hash_number, missing, normal_quantile, text_or
+from tessera.operators.ranks import exact_quantiles, running_sums
 
 #: Separator of combined categories; it stands in no ordinary text.
 SEPARATOR = "\u0001"
@@ -78,8 +78,7 @@ def rank_gauss(train: DataFrame, df: DataFrame, column: str, knots: int = 1000)
     training table, interpolated linearly and clipped at 1e-7."""
     from pyspark.ml.feature import Bucketizer
 
-    at = [k / (knots - 1) for k in range(knots)]
-    edges = train.agg(F.percentile(missing(F.col(column).cast("double")), F.array(*[F.lit(a) for a in at]))).first()[0] or [0.0] * knots
+    edges = exact_quantiles(train, column, [k / (knots - 1) for k in range(knots)]) or [0.0] * knots
     # First and last knot of every distinct edge; a value between edges lies between their knots.
     first: dict[float, int] = {}
     last: dict[float, int] = {}
@@ -87,17 +86,17 @@ def rank_gauss(train: DataFrame, df: DataFrame, column: str, knots: int = 1000)
         first.setdefault(e, k)
         last[e] = k
     values = sorted(first)
-    array = lambda xs: F.expr(f"cast(split('{','.join(map(repr, xs))}', ',') as array<double>)")
-    edge, low, high = array(values), array([first[v] for v in values]), array([last[v] for v in values])
-    x = F.col("__x")
+    x, i = F.col("__x"), F.col("__i")
     splits = [float("-inf"), *values, float("inf")]
     rows = df.withColumn("__x", missing(F.col(column).cast("double")))
-    rows = Bucketizer(splits=splits, inputCol="__x", outputCol="__i", handleInvalid="keep").transform(rows)
-    i = (F.col("__i") - 1).cast("int")
-    step = F.try_divide(x - F.get(edge, i), F.get(edge, i + 1) - F.get(edge, i))
-    place = F.when(i < 0, F.lit(0.0)).when(x == F.get(edge, i), (F.get(low, i) + F.get(high, i)) / 2).when(i >= len(values) - 1, F.lit(float(knots - 1))).otherwise(F.get(high, i) + step * (F.get(low, i + 1) - F.get(high, i)))
-    p = F.greatest(F.least(place / (knots - 1), F.lit(1 - 1e-7)), F.lit(1e-7))
-    return rows.withColumn(f"{column}_gauss", F.when(x.isNotNull(), normal_quantile(p))).drop("__x", "__i")
+    rows = Bucketizer(splits=splits, inputCol="__x", outputCol="__i", handleInvalid="keep").transform(rows).withColumn("__i", (F.col("__i") - 1).cast("int"))
+    of = lambda xs: F.get(double_array(xs), i)
+    pairs = list(zip(values, values[1:]))
+    step = (x - of(values)) / of([f - e for e, f in pairs] + [1.0])
+    place = F.when(i < 0, F.lit(0.0)).when(x == of(values), of([(first[v] + last[v]) / 2 for v in values])).when(i >= len(values) - 1, F.lit(float(knots - 1))).otherwise(of([last[v] for v in values]) + step * of([first[f] - last[e] for e, f in pairs] + [0.0]))
+    # A column of its own: normal_quantile names it dozens of times.
+    rows = rows.withColumn("__p", F.greatest(F.least(place / (knots - 1), F.lit(1 - 1e-7)), F.lit(1e-7)))
+    return rows.withColumn(f"{column}_gauss", F.when(x.isNotNull(), normal_quantile(F.col("__p")))).drop("__x", "__i", "__p")
 
 
 def fold_of(ids: list[str], folds: int, seed: int = 0) -> Column:

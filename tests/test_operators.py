@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -139,6 +140,35 @@ def test_encoders(spark):
     assert vals == sorted(vals)
 
 
+@pytest.mark.parametrize("buckets", [2, 4096])
+def test_exact_quantiles(spark, buckets):
+    at = [k / 999 for k in range(1000)] + [0.5]
+    spread = [(-1.0) ** k * (k * 7919 % 5003) / 7 for k in range(6000)]
+    odd = [0.0] * 4000 + [-0.0, 1e300, -1e300, 5e-324, 1e-9, -1.5] + spread[:50] + [None, float("nan"), float("inf"), float("-inf")]
+    for values in (spread, odd, [3.25], [2.0, 1.0], [7.0] * 30):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        whole = df.where("v > double('-inf') and v < double('inf')").agg(F.percentile("v", F.array(*[F.lit(a) for a in at]))).first()[0]
+        assert ranks.exact_quantiles(df, "v", at, buckets) == whole
+    assert ranks.exact_quantiles(spark.createDataFrame([(None,), (float("nan"),)], "v double"), "v", at, buckets) == []
+
+
+def test_rank_gauss_gathers_no_values_and_compiles(spark, monkeypatch):
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("one task gathers all distinct values"))
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, (F.col("id") % 1700).cast("double")).alias("v"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # code that does not compile is an error then
+    try:
+        got = {r["id"]: (r["v"], r["v_gauss"]) for r in encode.rank_gauss(rows, rows, "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    train = np.array([v for v, _ in got.values() if v is not None])
+    edges, at = np.quantile(train, np.linspace(0, 1, 1000)), np.linspace(0, 1, 1000)
+    assert len(got) == 5000 and all((v is None) == (g is None) for v, g in got.values())
+    for v, g in got.values():
+        if v is not None:
+            p = (np.interp(v, edges, at) - np.interp(-v, -edges[::-1], -at[::-1])) / 2
+            assert g == pytest.approx(statistics.NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)), abs=1e-6)
+
+
 def test_selection(spark):
     rows = [(k, float(k % 7), float(k % 7) * 2 + (k % 2) * 1e-3, -float(k % 7), 1.0, None, "t", None if k % 2 else 1.0) for k in range(100)]
     df = spark.createDataFrame(rows, "id int, a double, b double, m double, one double, none double, t string, half double")
