@@ -67,10 +67,19 @@ def quantile_bin(c: Column, edges: list[float]) -> Column:
     return F.when((c >= edges[0]) & (c <= edges[-1]), code)
 
 
+def column_means(train: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Means of the known numbers of a training table."""
+    return train.agg(*[F.avg(missing(F.col(c).cast("double"))).alias(c) for c in columns]).first().asDict()
+
+
+def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """Missing numbers become their column's value."""
+    return df.withColumns({c: F.coalesce(missing(F.col(c).cast("double")), F.lit(v)) for c, v in values.items()})
+
+
 def mean_impute(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing numbers become the mean of the training table."""
-    means = train.agg(*[F.avg(missing(F.col(c).cast("double"))).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(missing(F.col(c).cast("double")), F.lit(means[c])) for c in columns})
+    return impute(df, column_means(train, columns))
 
 
 def rank_gauss(train: DataFrame, df: DataFrame, column: str, knots: int = 1000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import hex_to_long, map_values, strict_number
-from tessera.operators.encode import combine, label_encode, mean_impute, one_hot, rank_gauss
+from tessera.operators.encode import column_means, combine, impute, label_encode, one_hot, rank_gauss
 from tessera.operators.groupby import GroupSpec, differences, join_back, ratios
 from tessera.operators.tables import keep_first, left_join, stack
 
@@ -64,7 +64,8 @@ def entity_target(rows: DataFrame, labels: DataFrame, entity: str, hex_id: str,
 def linear_features(train: DataFrame, df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
     """Inputs of linear models, fitted on the training rows only: numbers imputed and
     mapped to a normal distribution, categories one-hot with an indicator for missing."""
-    out, base = mean_impute(train, df, numbers), mean_impute(train, train, numbers)
+    means = column_means(train, numbers)  # once: a sum made anew may round otherwise, and miss the fitted tie
+    out, base = impute(df, means), impute(train, means)
     for c in numbers:
         out = rank_gauss(base, out, c)
     for c in categories:

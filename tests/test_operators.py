@@ -169,6 +169,30 @@ def test_rank_gauss_gathers_no_values_and_compiles(spark, monkeypatch):
             assert g == pytest.approx(statistics.NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)), abs=1e-6)
 
 
+def test_linear_features_fit_means_once_and_compile(spark, monkeypatch):
+    from tessera.plans.recipes import linear_features
+
+    means = []
+    monkeypatch.setattr(F, "percentile", lambda *a: pytest.fail("one task gathers all distinct values"))
+    monkeypatch.setattr(F, "avg", lambda c, f=F.avg: means.append(c) or f(c))
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 > 0, F.rand(5) * 100 - 3).alias("v"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id") % 2)).alias("c"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        got = {r["id"]: r for r in linear_features(rows.where("id % 5 > 0"), rows, ["v"], ["c"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(means) == 1 and len(got) == 6000
+    train, at = np.array([r["v"] for k, r in got.items() if k % 5]), np.linspace(0, 1, 1000)
+    edges = np.quantile(train, at)
+    for k, r in got.items():
+        if k % 3 == 0:
+            assert r["v"] == got[0]["v"]  # the training rows' mean, a third of all rows
+        p = (np.interp(r["v"], edges, at) - np.interp(-r["v"], -edges[::-1], -at[::-1])) / 2
+        assert r["v_gauss"] == pytest.approx(statistics.NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)), abs=1e-6)
+        assert (r["c_k0"], r["c_k1"], r["c_missing"]) == (int(k % 7 > 0 and k % 2 == 0), int(k % 7 > 0 and k % 2 == 1), int(k % 7 == 0))
+    assert got[0]["v"] == pytest.approx(np.mean([r["v"] for k, r in got.items() if k % 5 and k % 3]), rel=1e-12)
+
+
 def test_selection(spark):
     rows = [(k, float(k % 7), float(k % 7) * 2 + (k % 2) * 1e-3, -float(k % 7), 1.0, None, "t", None if k % 2 else 1.0) for k in range(100)]
     df = spark.createDataFrame(rows, "id int, a double, b double, m double, one double, none double, t string, half double")
