@@ -67,7 +67,7 @@ def exact_quantiles(df: DataFrame, column: str, at: list[float], buckets: int =
     starts = [0, *ends]
     places = [(ends[-1] - 1) * a for a in at]
     wanted = [(b := bisect_right(ends, r), r - starts[b]) for r in sorted({r for p in places for r in (floor(p), ceil(p))})]
-    need = df.sparkSession.createDataFrame(wanted, "__of int, __r long")  # two rows a quantile at most
+    need = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(f'({b}, {r}L)' for b, r in wanted)} AS t(__of, __r)")  # two rows a quantile at most
     held = rows.where(f"__b in ({','.join(str(b) for b in sorted({b for b, _ in wanted}))})").groupBy("__b", "__x").agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy("__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn("__to", F.sum("__n").over(inside))
